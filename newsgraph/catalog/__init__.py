@@ -1,6 +1,12 @@
 """All registered queries. Importing the modules fills the registry."""
 
-from newsgraph.catalog import feed_queries, row_queries, text_queries  # noqa: F401
+from newsgraph.catalog import (  # noqa: F401
+    feed_queries,
+    key_queries,
+    load_queries,
+    row_queries,
+    text_queries,
+)
 from newsgraph.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -55,7 +55,7 @@ def prepare(records: DataFrame) -> DataFrame:
     ``feed`` and ``pos`` order the records: the first of a key wins.
     """
     return (
-        _keyed(trim_all(records))
+        _keyed(trim_all(records.drop("journalist_id", "article_id")))  # given by the load
         .where(F.col("email_key") != "")
         .withColumn("article_title", F.coalesce("article_title", F.lit("")))
     )
