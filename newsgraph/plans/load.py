@@ -24,7 +24,7 @@ from newsgraph.operators.lookups import (
 from newsgraph.operators.numbering import dense_numbers
 from newsgraph.sinks.changelog import write_log
 from newsgraph.sinks.store import Load, StarStore
-from newsgraph.staging import scope, stage
+from newsgraph.staging import scope, stage_counted
 
 JOURNALIST_COLUMNS = [
     "name", "designation", "state", "country", "email", "media_link", "linkedin_url",
@@ -66,16 +66,17 @@ def upsert_journalists(load: Load, records: DataFrame) -> tuple[DataFrame, DataF
     batch and the inserted rows."""
     contacts = first_per_key(records, ["email_key"], ORDER)
     stored = _keyed(load.stored("journalist"))
-    flagged = stage(
+    flagged, new = stage_counted(
         with_existence(
             contacts.select("email_key", *JOURNALIST_COLUMNS), stored, ["email_key"], "journalist_id"
         ),
         "contacts",
+        ~F.col("is_exist"),
     )
     existing, unseen = split_on(flagged, F.col("is_exist"))
     numbered = dense_numbers(
         unseen.drop("journalist_id", "is_exist"), ["email_key"], "journalist_id",
-        load.highest("journalist"),
+        load.highest("journalist"), new,
     )
     load.add("journalist", numbered, ["journalist_id", *JOURNALIST_COLUMNS])
     inserted = _keyed(load.added("journalist"))
@@ -93,8 +94,9 @@ def load_articles(load: Load, records: DataFrame, journalist_ids: DataFrame) ->
         ARTICLE_KEY,
         ORDER,
     )
-    fresh = not_stored(stage(attached, "articles"), load.stored("article"), ARTICLE_KEY)
-    numbered = dense_numbers(fresh, ARTICLE_KEY, "article_id", load.highest("article"))
+    attached, rows = stage_counted(attached, "articles")
+    fresh = not_stored(attached, load.stored("article"), ARTICLE_KEY)
+    numbered = dense_numbers(fresh, ARTICLE_KEY, "article_id", load.highest("article"), rows)
     load.add("article", numbered, ["article_id", *ARTICLE_COLUMNS])
     return numbered
 
@@ -107,16 +109,15 @@ def upsert_topics(load: Load, records: DataFrame) -> DataFrame:
     topics = one_row_per_topic(
         with_text(records, "sub_beat_topic").select("sub_beat_topic", "beat_id")
     )
-    flagged = stage(
-        with_existence(
-            stage(topics, "topics"), load.stored("sub_beat"), ["sub_beat_topic"], "sub_beat_id"
-        ),
+    flagged, new = stage_counted(
+        with_existence(topics, load.stored("sub_beat"), ["sub_beat_topic"], "sub_beat_id"),
         "topics",
+        ~F.col("is_exist"),
     )
     existing, unseen = split_on(flagged, F.col("is_exist"))
     numbered = dense_numbers(
         unseen.select("sub_beat_topic", "beat_id"), ["sub_beat_topic"], "sub_beat_id",
-        load.highest("sub_beat"),
+        load.highest("sub_beat"), new,
     )
     load.add("sub_beat", numbered)
     columns = ["sub_beat_topic", "sub_beat_id"]
@@ -168,8 +169,7 @@ def load_records(
         prepared = prepare(records)
         if one_per_contact:
             prepared = first_per_key(prepared, ["email_key"], ORDER)
-        batch = stage(prepared, "batch")
-        count = batch.count()
+        batch, count = stage_counted(prepared, "batch")
         if count:
             ids, inserted = upsert_journalists(load, batch)
             articles = load_articles(load, batch, ids)
@@ -189,9 +189,8 @@ def _log_run(load: Load, source, source_batch, started, now, count: int) -> None
         f"Run {load.version} completed on {ended:%d/%m/%Y %H:%M:%S}; {count} records loaded."
     )
     tables = ("journalist", "article", "sub_beat", "article_subbeat")
-    row = load.store.spark.createDataFrame(
-        [(load.version, source, source_batch, started, ended, count,
-          *(load.rows.get(t, 0) for t in tables), message)],
-        load.store.tables["run_log"],
-    )
+    values = [load.version, source, source_batch, started, ended, count,
+              *(load.rows.get(t, 0) for t in tables), message]
+    names = load.store.tables["run_log"].fieldNames()
+    row = load.store.spark.range(1).select(*(F.lit(x).alias(n) for n, x in zip(names, values)))
     load.add("run_log", row)

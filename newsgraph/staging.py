@@ -14,7 +14,7 @@ import threading
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _local_roots: dict[str, str] = {}
 _active = threading.local()
@@ -53,6 +53,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, name: str, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """``stage`` and the number of rows (where ``counted`` holds), counted by
+    the write itself."""
+    seen = Observation()
+    one = F.lit(1) if counted is None else F.when(counted, F.lit(1))
+    written = stage(df.observe(seen, F.count(one).alias("rows")), name)
+    return written, seen.get["rows"]
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """(file system, path) of the Hadoop API for any supported scheme."""
     jvm = spark.sparkContext._jvm
