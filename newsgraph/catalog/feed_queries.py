@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsgraph.catalog import views as v
 from newsgraph.catalog.registry import query
 from newsgraph.functions.text import escape_xml
-from newsgraph.operators.topics import last_topic
+from newsgraph.operators.topics import last_listed
 from newsgraph.operators.lookups import beat_ids
 from newsgraph.sources.feeds import (
     TOPIC_SUFFIX,
@@ -136,16 +136,7 @@ def newest_per_feed(spark, sf):
     newest = newest_items(
         events.select("ts", "event_id", F.col("event_type").alias("feed")), as_of, "ts", "feed", "event_id"
     )
-    place = F.row_number().over(
-        v_window("feed").orderBy(F.desc("ts"), F.asc("event_id"))
-    )
-    return newest.select("feed", "event_id", place.cast("bigint").alias("rn"))
-
-
-def v_window(*keys):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
+    return newest.select("feed", "event_id", F.col("rank").cast("bigint").alias("rn"))
 
 
 _TOPIC_LIST = [*TOPIC_SUFFIX, "Weather", "Chess"]
@@ -207,11 +198,17 @@ def language_beats(spark, sf):
 @query("beat_topic_counts", FLAGSHIP_SQL)
 def beat_topic_counts(spark, sf):
     """Flagship: landed pages to items, beat by category (0 when unknown), last
-    navigation topic, pages per beat and topic."""
-    items = beat_ids(v.page_items(spark, sf), language_beats(spark, sf), "category")
-    topics = last_topic(v.nav_topics(spark, sf), "page_id").withColumnRenamed("page_id", "pos")
+    navigation topic, pages per beat and topic.
+
+    The topics stay in the row of their page, so the pages are scanned once
+    and only the counts are shuffled.
+    """
+    items = v.table(spark, sf, "pages").select(
+        F.regexp_extract("url", v.URL_PARTS, 2).alias("category"),
+        last_listed(F.regexp_extract_all("html", F.lit(v.NAV_LINK), F.lit(1))).alias("topic"),
+    )
     return (
-        items.join(topics, "pos", "left")
+        beat_ids(items, language_beats(spark, sf), "category")
         .groupBy("beat_id", "topic")
         .agg(F.count(F.lit(1)).alias("pages"))
     )

@@ -136,7 +136,8 @@ def entity_gate(spark, sf):
             (-1 - F.col("event_id")).alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("text")
         )
     )
-    return with_gate(texts, "text", v.gazetteer(spark, sf), longest=1).select("id", "is_topic")
+    gated = with_gate(texts, "text", v.gazetteer(spark, sf), longest=1, key="id")
+    return gated.select("id", "is_topic")
 
 
 _CONTACT_COLUMNS = "email, name, state, media_link, linkedin_url, website, about_info"

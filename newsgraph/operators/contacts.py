@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsgraph.functions.text import is_absolute_link, last_email, location_words, name_before_comma
 from newsgraph.operators.elements import Pick, all_of, first_of
 from newsgraph.operators.entity import last_entity_word, with_gate
+from newsgraph.staging import stage
 
 # The elements that carry contacts.
 ARTICLE_PICKS = [
@@ -192,9 +193,11 @@ def contact_entries(
     """All profile entries of the items ``(item_id, link)``.
 
     Three equi-joins on page addresses: article, author page, profile page. An
-    item whose article page was not landed gives no entries.
+    item whose article page was not landed gives no entries. The facts of the
+    items feed three branches and are written once.
     """
-    facts = items.select("item_id", F.col("link").alias("url")).join(article_facts(picked), "url")
+    links = items.select("item_id", F.col("link").alias("url"))
+    facts = stage(links.join(article_facts(picked), "url"), "facts")
     rows = page_entries(facts).unionByName(bio_entries(facts, bio_links(picked)))
     return resolve_profiles(rows, profile_facts(picked, gazetteer)).unionByName(
         byline_entries(facts, gazetteer, model)

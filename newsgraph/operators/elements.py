@@ -149,10 +149,19 @@ def scan(html: str | None, picks: Sequence[Pick]) -> list[list]:
     return rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan that came as fewer partitions than there are.
+
+    A large input already has more partitions and is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick_elements(pages: DataFrame, picks: Sequence[Pick], key: str = "url") -> DataFrame:
     """(key, picks): for every page the array of its picked elements."""
     wanted = tuple(picks)
-    source = pages.select(key, "html")
+    source = spread(pages.select(key, "html"))
     key_field = source.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

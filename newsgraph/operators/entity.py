@@ -31,13 +31,16 @@ def ngrams(text: Column, longest: int = 3) -> Column:
     return words if longest == 1 else F.concat(words, *(runs(n) for n in range(2, longest + 1)))
 
 
-def texts_with_entity(texts: DataFrame, gazetteer: DataFrame, longest: int = 3) -> DataFrame:
-    """Distinct texts in which at least one n-gram is in the gazetteer."""
+def naming(
+    df: DataFrame, key: str, text: str, gazetteer: DataFrame, longest: int = 3
+) -> DataFrame:
+    """Distinct keys of the texts in which at least one n-gram is in the gazetteer."""
     names = gazetteer.select(F.col("entity").alias("_gram")).distinct()
+    grams = F.array_distinct(ngrams(F.col(text), longest))
     return (
-        texts.select("text", F.explode(F.array_distinct(ngrams(F.col("text"), longest))).alias("_gram"))
+        df.select(key, F.explode(grams).alias("_gram"))
         .join(names, "_gram", "left_semi")
-        .select("text")
+        .select(key)
         .distinct()
     )
 
@@ -49,26 +52,27 @@ def with_gate(
     model: Callable[[Column], Column] | None = None,
     longest: int = 3,
     out: str = "is_topic",
+    key: str | None = None,
 ) -> DataFrame:
     """Add ``out``: true when the text holds no entity and is no timestamp.
 
-    Every distinct text is judged once. A null text gives a null flag.
+    Short texts repeat, so every distinct text is judged once. For long texts
+    pass the unique ``key`` of the rows: the rows are judged where they are and
+    only keys are shuffled. A null text gives a null flag.
     """
-    distinct = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    by = key or text
+    judged = df.select(*dict.fromkeys([by, text])).where(F.col(text).isNotNull())
+    if key is None:
+        judged = judged.distinct()
     if model is not None:
-        named = distinct.where(model(F.col("text")))
+        named = judged.where(model(F.col(text))).select(by)
     else:
-        named = texts_with_entity(distinct, gazetteer, longest)
-    named = named.select(F.col("text").alias(text), F.lit(True).alias("_named"))
+        named = naming(judged, by, text, gazetteer, longest)
+    plain = F.when(F.col(text).isNotNull(), exact_timestamp(F.col(text)).isNull())
     return (
-        df.join(named, text, "left")
-        .withColumn(
-            out,
-            F.when(
-                F.col(text).isNotNull(),
-                F.col("_named").isNull() & exact_timestamp(F.col(text)).isNull(),
-            ),
-        )
+        df.withColumn(out, plain)
+        .join(named.withColumn("_named", F.lit(True)), by, "left")
+        .withColumn(out, F.col(out) & F.col("_named").isNull())
         .drop("_named")
     )
 

@@ -98,18 +98,12 @@ def default_member_id(sub_beats: DataFrame, topic: str = "Other") -> DataFrame:
 
 
 def topic_ids(work: DataFrame, topics: DataFrame, default_id: DataFrame) -> DataFrame:
-    """Add ``sub_beat_id``: by topic; the default id for an empty topic; null
-    for a topic that was not found."""
-    return (
-        work.join(topics.select("sub_beat_topic", "sub_beat_id"), "sub_beat_topic", "left")
-        .join(F.broadcast(default_id))  # one row by construction
-        .withColumn(
-            "sub_beat_id",
-            F.when(F.coalesce("sub_beat_topic", F.lit("")) == "", F.col("default_id")).otherwise(
-                F.col("sub_beat_id")
-            ),
-        )
-        .drop("default_id")
+    """Add ``sub_beat_id``: by topic; the default id (a one-row frame, read as
+    a scalar subquery) for an empty topic; null for a topic that was not found."""
+    empty = F.coalesce("sub_beat_topic", F.lit("")) == ""
+    known = topics.select("sub_beat_topic", "sub_beat_id")
+    return work.join(known, "sub_beat_topic", "left").withColumn(
+        "sub_beat_id", F.when(empty, default_id.scalar()).otherwise(F.col("sub_beat_id"))
     )
 
 

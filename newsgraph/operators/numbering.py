@@ -77,8 +77,10 @@ def newest_per_group(
     n: int,
     spread: Sequence[str],
     slices: int = 64,
+    rank: str = "rank",
 ) -> DataFrame:
-    """The first ``n`` rows of every group, exact also for very large groups.
+    """The first ``n`` rows of every group with their rank, exact also for very
+    large groups.
 
     A row among the first ``n`` of its group is also among the first ``n`` of
     its slice, so a big group is cut down in ``slices`` tasks before its
@@ -91,9 +93,9 @@ def newest_per_group(
     by_group = Window.partitionBy(*group).orderBy(*order_by)
     return (
         df.withColumn("_slice", slice_of)
-        .withColumn("_rank", F.row_number().over(by_slice))
-        .where(F.col("_rank") <= n)
-        .withColumn("_rank", F.row_number().over(by_group))
-        .where(F.col("_rank") <= n)
-        .drop("_slice", "_rank")
+        .withColumn(rank, F.row_number().over(by_slice))
+        .where(F.col(rank) <= n)
+        .withColumn(rank, F.row_number().over(by_group))
+        .where(F.col(rank) <= n)
+        .drop("_slice")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgraph.functions.text import clean_html, is_numeric, trim_ws
 from newsgraph.operators.elements import Pick, all_of, first_of
@@ -51,6 +51,11 @@ def valid_topics(topics: DataFrame, gazetteer: DataFrame | None, model=None) ->
     )
 
 
+def last_listed(topics: Column) -> Column:
+    """The last topic of a list that is at hand in the row; null when empty."""
+    return F.try_element_at(topics, F.lit(-1))
+
+
 def last_topic(topics: DataFrame, *keys: str) -> DataFrame:
     """One topic per key: the last one wins."""
     return topics.groupBy(*keys).agg(F.max_by("topic", "pos").alias("topic"))
