@@ -170,8 +170,9 @@ FROM loaded l LEFT JOIN topics t ON t.topic = l.topic""",
 )
 def crawl_to_star(spark, sf):
     """Feed items and landed pages to the stored star schema, read back."""
+    picked = picked_pages(st.pages(spark, sf))
     records = crawl(
-        st.items(spark, sf), st.pages(spark, sf), st.segment_beats(spark, sf), st.names(spark, sf)
+        st.items(spark, sf), picked, st.segment_beats(spark, sf), st.names(spark, sf)
     )
     store = new_store(spark)
     load_records(store, records, now=NOW)

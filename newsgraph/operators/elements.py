@@ -23,11 +23,12 @@ VOID_TAGS = frozenset(
 )
 RAW_TEXT = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style")}
 
+# ASCII, so that white space means the same here and in the JVM pre-filter
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""",
-    re.S,
+    re.S | re.A,
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.A)
 
 
 @dataclass(frozen=True)
@@ -149,11 +150,32 @@ def scan(html: str | None, picks: Sequence[Pick]) -> list[list]:
     return rows
 
 
+def may_match(picks: Sequence[Pick], html: str = "html") -> Column:
+    """Whether a page can hold any of the picks at all.
+
+    Attribute values are compared as written, so an element that starts a pick
+    shows ``attribute = value`` in the text. The test runs in the JVM and keeps
+    all other pages away from Python; it never drops a match.
+    """
+    roots = [pick for pick in picks if not pick.inside and not pick.child_of]
+    if any(pick.attr is None for pick in roots):
+        return F.lit(True)
+    by_attr: dict[str, list[str]] = {}
+    for pick in roots:
+        by_attr.setdefault(pick.attr, []).append(rf"\Q{pick.value}\E")
+    shown = "|".join(
+        rf"(?i:{attr})\s*=\s*[\"']?(?:{'|'.join(values)})" for attr, values in by_attr.items()
+    )
+    return F.col(html).rlike(shown)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a scan that came as fewer partitions than there are.
 
     A large input already has more partitions and is not moved.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

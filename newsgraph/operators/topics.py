@@ -22,20 +22,20 @@ def story_topics(picked: DataFrame) -> DataFrame:
     Topics are read from the block of their own story. Of several blocks with
     one cluster id on a page the first counts.
     """
-    stories = picked.select(
-        F.col("url").alias("beat_link"), "picks", F.explode(all_of("story")).alias("story")
-    ).where(F.col("story.cid").isNotNull())
-    earlier = F.exists(
-        all_of("story"),
-        lambda s: (s["cid"] == F.col("story.cid")) & (s["pos"] < F.col("story.pos")),
-    )
-    wrapper = first_of("topics", F.col("story.pos"))["pos"]
+
+
+    def is_first(story: Column) -> Column:
+        same = lambda s: (s["cid"] == story["cid"]) & (s["pos"] < story["pos"])
+        return story["cid"].isNotNull() & ~F.exists(all_of("story"), same)
+
+    def block(story: Column) -> Column:
+        wrapper = first_of("topics", story["pos"])["pos"]
+        return F.struct(story["cid"].alias("cid"), all_of("topic", wrapper).alias("topics"))
+
+    blocks = F.transform(F.filter(all_of("story"), is_first), block)
     return (
-        stories.where(~earlier)
-        .select(
-            "beat_link", F.col("story.cid").alias("cid"),
-            F.explode(all_of("topic", wrapper)).alias("e"),
-        )
+        picked.select(F.col("url").alias("beat_link"), F.inline(blocks))
+        .select("beat_link", "cid", F.explode("topics").alias("e"))
         .select("beat_link", "cid", F.col("e.pos").alias("pos"),
                 clean_html(F.col("e.text")).alias("topic"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsgraph.operators.contacts import ARTICLE_PICKS, BIO_PICKS, PROFILE_PICKS, contact_entries
 from newsgraph.operators.dedupe import first_per_email
-from newsgraph.operators.elements import pick_elements
+from newsgraph.operators.elements import may_match, pick_elements
 from newsgraph.operators.lookups import beat_ids
 from newsgraph.operators.profile import contact_rows
 from newsgraph.operators.topics import BEAT_PICKS, attach_topics, story_topics, valid_topics
@@ -16,17 +16,27 @@ from newsgraph.staging import stage
 ALL_PICKS = [*ARTICLE_PICKS, *BIO_PICKS, *PROFILE_PICKS, *BEAT_PICKS]
 
 
+def pick_pages(pages: DataFrame) -> DataFrame:
+    """Picked elements of landed pages, for a batch or for a stream of pages.
+
+    Pages that show none of the wanted elements never reach Python.
+    """
+    candidates = pages.where(may_match(ALL_PICKS))
+    return pick_elements(candidates, ALL_PICKS).where(F.size("picks") > 0)
+
+
 def picked_pages(pages: DataFrame) -> DataFrame:
-    """Picked elements of all landed pages: one scan of the texts, written once.
+    """``pick_pages`` as a written table: one scan of the texts.
 
-    Article, author, profile and beat lookups all join this small table.
+    Article, author, profile and beat lookups all join this small table. A
+    stream keeps it up to date as pages land (``streaming.cycle.pick_stream``).
     """
-    return stage(pick_elements(pages, ALL_PICKS).where(F.size("picks") > 0), "picked")
+    return stage(pick_pages(pages), "picked")
 
 
 def crawl(
     items: DataFrame,
-    pages: DataFrame,
+    picked: DataFrame,
     beats: DataFrame,
     gazetteer: DataFrame,
     *,
@@ -36,10 +46,11 @@ def crawl(
 ) -> DataFrame:
     """Records ready to load: contacts, article, beat id and story topic.
 
+    ``picked`` is the table of picked elements, not the pages themselves, so a
+    cycle over a few new items does not read page texts again.
     ``one_per_contact`` keeps the first item of every e-mail address.
     """
     items = stage(items, "items")
-    picked = picked_pages(pages)
     entries = contact_entries(items, picked, gazetteer, model)
     records = crawl_records(items, contact_rows(entries))
     if one_per_contact:

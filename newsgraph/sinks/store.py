@@ -46,16 +46,21 @@ class StarStore:
     def _commit_path(self, version: int) -> str:
         return f"{self.root}/_commits/{version:012d}.json"
 
-    def manifest(self) -> dict:
-        """The newest committed manifest."""
+    def _commit_names(self) -> list[str]:
+        """Names of the committed manifests, oldest first."""
         fs, folder = hadoop_fs(self.spark, f"{self.root}/_commits")
         if not fs.exists(folder):
-            return json.loads(json.dumps(_EMPTY))
+            return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = sorted(name for name in names if name.endswith(".json"))
-        if not done:
-            return json.loads(json.dumps(_EMPTY))
-        _, path = hadoop_fs(self.spark, f"{self.root}/_commits/{done[-1]}")
+        return sorted(name for name in names if name.endswith(".json"))
+
+    def manifest(self) -> dict:
+        """The newest committed manifest."""
+        names = self._commit_names()
+        return self._load(names[-1]) if names else json.loads(json.dumps(_EMPTY))
+
+    def _load(self, name: str) -> dict:
+        fs, path = hadoop_fs(self.spark, f"{self.root}/_commits/{name}")
         stream = fs.open(path)
         try:
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -106,6 +111,35 @@ class StarStore:
         return len(small)
 
 
+    def tidy(self, segments: int = 100, keep: int = 10) -> None:
+        """Bound the number of folders: compact tables with more than
+        ``segments`` segments and drop what the last ``keep`` versions do not name."""
+        for table in self.tables:
+            if len(self.manifest()["segments"].get(table, [])) > segments:
+                self.compact(table)
+                self.vacuum(keep)
+
+    def vacuum(self, keep: int = 10) -> list[str]:
+        """Drop older manifests and the folders that only they name."""
+        names = self._commit_names()
+        used = {
+            path
+            for name in names[-keep:]
+            for segments in self._load(name)["segments"].values()
+            for path, _ in segments
+        }
+        dropped = []
+        for name in names[:-keep]:
+            for segments in self._load(name)["segments"].values():
+                dropped += [path for path, _ in segments if path not in used]
+            fs, path = hadoop_fs(self.spark, f"{self.root}/_commits/{name}")
+            fs.delete(path, False)
+        for path in sorted(set(dropped)):
+            fs, target = hadoop_fs(self.spark, f"{self.root}/{path}")
+            fs.delete(target, True)
+        return sorted(set(dropped))
+
+
 class Load:
     """One load: segments of any number of tables, switched on together."""
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from newsgraph.plans.crawl import pick_pages
 from newsgraph.plans.load import load_records
 from newsgraph.sinks.store import StarStore
 from newsgraph.staging import scope
@@ -22,6 +23,26 @@ log = logging.getLogger(__name__)
 CYCLE_SECONDS = 10
 
 
+def pick_stream(
+    pages: DataFrame, path: str, checkpoint: str, *, once: bool = False
+) -> StreamingQuery:
+    """Keep the picked-elements table up to date: every page is read once, when
+    it lands. ``spark.read.parquet(path)`` gives the table."""
+    return (
+        pick_pages(pages)
+        .writeStream.queryName("pages")
+        .format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(once))
+        .start()
+    )
+
+
+def _trigger(once: bool) -> dict:
+    return {"availableNow": True} if once else {"processingTime": f"{CYCLE_SECONDS} seconds"}
+
+
 def run_cycles(
     stream: DataFrame,
     store: StarStore,
@@ -39,12 +60,12 @@ def run_cycles(
             load_records(
                 store, to_records(batch), source=name, source_batch=batch_id, **load_options
             )
+            store.tidy()
 
-    trigger = {"availableNow": True} if once else {"processingTime": f"{CYCLE_SECONDS} seconds"}
     return (
         stream.writeStream.queryName(name)
         .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
+        .trigger(**_trigger(once))
         .foreachBatch(load)
         .start()
     )
