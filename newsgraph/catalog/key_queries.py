@@ -73,22 +73,35 @@ def existing_journalists(spark, sf):
 
 
 def _topics(spark, sf):
-    """(stored topics, all topics): part names; stored are those of six brands."""
-    parts = v.table(spark, sf, "part")
-    known = parts.where(F.col("p_brand").isin(*_STORED_BRANDS) & (F.col("p_size") < 20))
-    stored = dense_numbers(
-        known.select(F.col("p_name").alias("sub_beat_topic")).distinct(), ["sub_beat_topic"], "sub_beat_id"
+    """(stored topics, all topics): name, brand and size of the parts; stored
+    are those of the parts on stored orders."""
+    stored_orders, _ = v.orders_split(spark, sf)
+    parts = _part_topics(spark, sf)
+    lines = v.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")
     )
-    topics = parts.groupBy(F.col("p_name").alias("sub_beat_topic")).agg(F.min("p_size").alias("beat_id"))
+    sold = lines.join(stored_orders.select("o_orderkey"), "o_orderkey", "left_semi")
+    known = parts.join(sold, "p_partkey", "left_semi").select("sub_beat_topic").distinct()
+    stored = dense_numbers(known, ["sub_beat_topic"], "sub_beat_id")
+    topics = parts.groupBy("sub_beat_topic").agg(F.min("p_size").alias("beat_id"))
     return stored, topics
 
 
-_STORED_BRANDS = ["Brand#1", "Brand#2", "Brand#3"]
-_STORED_TOPICS = """stored_topics AS (
+def _part_topics(spark, sf):
+    size = F.col("p_size").cast("string")
+    return v.table(spark, sf, "part").select(
+        "p_partkey", "p_size", F.concat_ws(" ", "p_name", "p_brand", size).alias("sub_beat_topic")
+    )
+
+
+_STORED_TOPICS = f"""{v.ORDERS_SPLIT},
+part_topics AS (SELECT p_partkey, p_size,
+    p_name || ' ' || p_brand || ' ' || CAST(p_size AS VARCHAR) AS sub_beat_topic FROM part),
+stored_topics AS (
   SELECT sub_beat_topic, row_number() OVER (ORDER BY sub_beat_topic) AS sub_beat_id FROM (
-    SELECT DISTINCT p_name AS sub_beat_topic FROM part
-    WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_size < 20)),
-topics AS (SELECT p_name AS sub_beat_topic, min(p_size) AS beat_id FROM part GROUP BY p_name)"""
+    SELECT DISTINCT sub_beat_topic FROM part_topics WHERE p_partkey IN (
+      SELECT l_partkey FROM lineitem JOIN stored_orders ON l_orderkey = o_orderkey))),
+topics AS (SELECT sub_beat_topic, min(p_size) AS beat_id FROM part_topics GROUP BY 1)"""
 
 
 @query(
@@ -173,9 +186,9 @@ def id_read_back(spark, sf):
 
 _WORK = f"""{_STORED_TOPICS},
 work AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '' WHEN p_size % 7 = 1 THEN NULL
-  ELSE p_name END AS sub_beat_topic FROM part),
+  ELSE sub_beat_topic END AS sub_beat_topic FROM part_topics),
 other AS (SELECT coalesce(min(sub_beat_id), 0) AS id FROM stored_topics
-  WHERE sub_beat_topic = 'red bolt')"""
+  WHERE sub_beat_topic = (SELECT min(sub_beat_topic) FROM topics))"""
 
 
 @query(
@@ -186,27 +199,31 @@ SELECT p_partkey, w.sub_beat_topic, CASE WHEN coalesce(w.sub_beat_topic, '') = '
 FROM work w CROSS JOIN other LEFT JOIN stored_topics s ON s.sub_beat_topic = w.sub_beat_topic""",
 )
 def topic_id(spark, sf):
-    stored, _ = _topics(spark, sf)
+    """The first topic by name plays the default topic."""
+    stored, topics = _topics(spark, sf)
     size = F.col("p_size") % 7
-    work = v.table(spark, sf, "part").select(
+    work = _part_topics(spark, sf).select(
         "p_partkey",
-        F.when(size == 0, "").when(size != 1, F.col("p_name")).alias("sub_beat_topic"),
+        F.when(size == 0, "").when(size != 1, F.col("sub_beat_topic")).alias("sub_beat_topic"),
     )
-    return lk.topic_ids(work, stored, lk.default_member_id(stored, "red bolt"))
+    first = topics.agg(F.min("sub_beat_topic")).first()[0]
+    return lk.topic_ids(work, stored, lk.default_member_id(stored, first))
 
 
 @query(
     "jon_11_default_member",
-    f"""WITH {_STORED_TOPICS}
-SELECT 'red bolt' AS topic, coalesce(min(sub_beat_id), 0) AS default_id FROM stored_topics
-WHERE sub_beat_topic = 'red bolt'
+    f"""WITH {_STORED_TOPICS},
+last_topic AS (SELECT max(sub_beat_topic) AS t FROM stored_topics)
+SELECT (SELECT t FROM last_topic) AS topic, coalesce(min(sub_beat_id), 0) AS default_id
+FROM stored_topics WHERE sub_beat_topic = (SELECT t FROM last_topic)
 UNION ALL SELECT 'Other', coalesce(min(sub_beat_id), 0) FROM stored_topics
 WHERE sub_beat_topic = 'Other'""",
 )
 def default_member(spark, sf):
     stored, _ = _topics(spark, sf)
     one = lambda t: lk.default_member_id(stored, t).select(F.lit(t).alias("topic"), "default_id")
-    return one("red bolt").unionByName(one("Other"))
+    last = stored.agg(F.max("sub_beat_topic")).first()[0]
+    return one(last).unionByName(one("Other"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsgraph.catalog import views as v
 from newsgraph.catalog.registry import query
 from newsgraph.functions import dates, text
+from newsgraph.operators.entity import last_entity_word
 from newsgraph.operators.topics import last_topic
 
 _EMAIL = text.EMAIL_PATTERN
@@ -65,25 +66,18 @@ def before_comma(spark, sf):
 @query(
     "str_5_location_words",
     rf"""WITH {v.GAZETTEER},
-words AS (SELECT p_partkey, l, unnest(range(len(l))) AS i FROM (
-  SELECT p_partkey, regexp_extract_all(b.text, '[A-Za-z_][A-Za-z0-9_''-]*') AS l
-  FROM part p JOIN benchmark b ON b.item_id = p.p_partkey % 40)),
-kept AS (SELECT p_partkey, i, l[i + 1] AS word FROM words
+words AS (SELECT doc_id, l, unnest(range(len(l))) AS i FROM (
+  SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_''-]*') AS l FROM documents)),
+kept AS (SELECT doc_id, i, l[i + 1] AS word FROM words
   WHERE l[i + 1] IN (SELECT entity FROM gazetteer))
-SELECT p_partkey, arg_max(word, i) AS word FROM kept GROUP BY p_partkey""",
+SELECT doc_id, arg_max(word, i) AS word FROM kept GROUP BY doc_id""",
 )
 def location_words(spark, sf):
-    """Last gazetteer word of the text that stands for each part's location."""
-    from newsgraph.operators.entity import last_entity_word
-
-    places = v.table(spark, sf, "benchmark").select("item_id", "text")
-    located = (
-        v.table(spark, sf, "part")
-        .select("p_partkey", (F.col("p_partkey") % 40).alias("item_id"))
-        .join(places, "item_id")
-        .select("p_partkey", text.location_words(F.col("text")).alias("words"))
+    """Last gazetteer word of every document, read as a location text."""
+    docs = v.table(spark, sf, "documents").select(
+        "doc_id", text.location_words(F.col("text")).alias("words")
     )
-    return last_entity_word(located, "p_partkey", "words", v.gazetteer(spark, sf))
+    return last_entity_word(docs, "doc_id", "words", v.gazetteer(spark, sf))
 
 
 @query(

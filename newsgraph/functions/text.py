@@ -13,6 +13,7 @@ EMAIL_PATTERN = (
 )
 LOCATION_WORD_PATTERN = r"\w(?<!\d)[\w'-]*"
 UNESCAPED = [("&apos;", "'"), ("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")]
+ASCII_SPACE = " \t\n\x0b\f\r"
 REMOVED = ["&nbsp;", "&raquo;", "\r", "\n", "'", ",", "."]
 
 
@@ -51,9 +52,11 @@ def escape_xml(text: Column) -> Column:
 
 
 def trim_ws(text: Column, unicode: bool = False) -> Column:
-    """Strip all white space at both ends (``F.trim`` strips blanks only)."""
-    lead = F.regexp_replace(text, _flagged(r"^\s+", unicode), "")
-    return F.regexp_replace(lead, _flagged(r"\s+$", unicode), "")
+    """Strip all white space at both ends (plain ``F.trim`` strips blanks only)."""
+    if not unicode:
+        return F.btrim(text, F.lit(ASCII_SPACE))
+    lead = F.regexp_replace(text, r"(?U)^\s+", "")
+    return F.regexp_replace(lead, r"(?U)\s+$", "")
 
 
 def name_before_comma(text: Column) -> Column:

@@ -8,6 +8,7 @@ loss of executors and gives the next plan exact file sizes.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import threading
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _local_roots: dict[str, str] = {}
+_used: set[str] = set()
 _active = threading.local()
 
 
@@ -29,8 +31,11 @@ def _scopes() -> list[list[str]]:
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder; a temporary one only for local sessions without it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if app not in _used:
+        _used.add(app)
+        atexit.register(release, spark)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -38,6 +43,14 @@ def staging_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/newsgraph/{app}"
 
 
+def release(spark: SparkSession) -> None:
+    """Drop everything this application has staged; runs at exit when the
+    session is still up then."""
+    if spark.sparkContext._jsc is not None:
+        fs, target = hadoop_fs(spark, staging_root(spark))
+        fs.delete(target, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     if _scopes():
