@@ -95,9 +95,14 @@ def cluster_id(guid: Column) -> Column:
 
 
 def is_numeric(text: Column) -> Column:
-    """Whether the text reads as a number; thousands commas are accepted."""
+    """Whether the text reads as a number; thousands commas are accepted.
+
+    The shape is tested as well, since a cast to double also takes Java
+    literals such as ``12d``.
+    """
     plain = F.replace(text, F.lit(","), F.lit(""))
-    return F.coalesce(plain.try_cast("double").isNotNull(), F.lit(False))
+    shaped = plain.rlike(r"^\s*([-+]?[0-9.]+([eE][-+]?[0-9]+)?|NaN|-?Infinity)\s*$")
+    return F.coalesce(shaped & plain.try_cast("double").isNotNull(), F.lit(False))
 
 
 def link_class(href: Column) -> Column:

@@ -22,7 +22,7 @@ from newsgraph.operators.lookups import (
     with_existence,
 )
 from newsgraph.operators.numbering import dense_numbers
-from newsgraph.sinks.changelog import write_log
+from newsgraph.sinks.changelog import drop_old_logs, write_log
 from newsgraph.sinks.store import Load, StarStore
 from newsgraph.staging import scope, stage_counted
 
@@ -124,16 +124,26 @@ def upsert_topics(load: Load, records: DataFrame) -> DataFrame:
     return merge_rows(existing.select(*columns), load.added("sub_beat").select(*columns))
 
 
-def load_bridge(load: Load, articles: DataFrame, topics: DataFrame) -> int:
-    """One bridge row per new article.
+def load_bridge(
+    load: Load, articles: DataFrame, topics: DataFrame, records: DataFrame | None = None
+) -> int:
+    """One bridge row per new article, or per topic of its ``records``.
 
-    Article ids of a load are dense already, so the bridge ids follow from
-    them without another sort.
+    Article ids of a load are dense already, so with one row per article the
+    bridge ids follow from them without another sort.
     """
     sub_beats = merge_rows(load.stored("sub_beat"), load.added("sub_beat"))
-    rows = topic_ids(
-        articles.select("article_id", "sub_beat_topic"), topics, default_member_id(sub_beats)
-    )
+    default_id = default_member_id(sub_beats)
+    if records is not None:
+        listed = records.select(*ORDER, "sub_beat_topic").distinct()
+        pairs = articles.select("article_id", *ORDER).join(listed, ORDER).drop(*ORDER)
+        rows = topic_ids(pairs, topics, default_id).select("article_id", "sub_beat_id").distinct()
+        return load.add(
+            "article_subbeat",
+            dense_numbers(rows, ["article_id", "sub_beat_id"], "article_subbeats_id",
+                          load.highest("article_subbeat")),
+        )
+    rows = topic_ids(articles.select("article_id", "sub_beat_topic"), topics, default_id)
     shift = load.highest("article_subbeat") - load.before.get("article", 0)
     return load.add(
         "article_subbeat",
@@ -150,6 +160,7 @@ def load_records(
     records: DataFrame,
     *,
     one_per_contact: bool = True,
+    topics: str = "last",
     source: str = "batch",
     source_batch: int | None = None,
     log_root: str | None = None,
@@ -159,6 +170,9 @@ def load_records(
 
     A later step runs only when the one before it gave rows. A source batch
     that was committed before is skipped, so a replay changes nothing.
+
+    ``topics="all"`` takes records with one row per topic of an item (equal
+    ``feed`` and ``pos``) and writes one bridge row per topic.
     """
     load = store.begin()
     if load.done_before(source, source_batch):
@@ -166,17 +180,25 @@ def load_records(
     spark = store.spark
     started = now or dt.datetime.now(dt.timezone.utc)
     with scope(spark):
-        prepared = prepare(records)
+        heads, listed = prepare(records), None
+        if topics == "all":
+            listed, _ = stage_counted(heads, "topics")
+            heads = first_per_key(listed, ORDER, ["sub_beat_topic"])
         if one_per_contact:
-            prepared = first_per_key(prepared, ["email_key"], ORDER)
-        batch, count = stage_counted(prepared, "batch")
+            heads = first_per_key(heads, ["email_key"], ORDER)
+        batch, count = stage_counted(heads, "batch")
+        if listed is not None:
+            listed = listed.join(batch.select(*ORDER), ORDER, "left_semi")
         if count:
             ids, inserted = upsert_journalists(load, batch)
             articles = load_articles(load, batch, ids)
             if load.rows["article"]:
-                load_bridge(load, articles, upsert_topics(load, batch))
+                found = upsert_topics(load, batch if listed is None else listed)
+                load_bridge(load, articles, found, listed)
             if log_root and load.rows["journalist"]:
                 write_log(inserted, log_root, started.date(), load.version)
+        if log_root:
+            drop_old_logs(spark, log_root, started.date())
         _log_run(load, source, source_batch, started, now, count)
         load.commit(source, source_batch)
     return LoadResult(load.version, count, dict(load.rows))

@@ -8,8 +8,10 @@ that was committed before a failure is skipped when it is replayed.
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -71,6 +73,27 @@ def run_cycles(
     )
 
 
+def keep_running(
+    start: Callable[[], StreamingQuery],
+    *,
+    pause: float = CYCLE_SECONDS,
+    restarts: int | None = None,
+) -> None:
+    """Wait for the stream and start it again after a failure, for ever unless
+    ``restarts`` bounds it. The checkpoint makes it go on where it failed."""
+    failures = 0
+    while True:
+        try:
+            start().awaitTermination()
+            return
+        except StreamingQueryException as error:
+            failures += 1
+            if restarts is not None and failures > restarts:
+                raise
+            log.warning("cycle failed, restart in %s s: %s", pause, error)
+            time.sleep(pause)
+
+
 class CycleLog(StreamingQueryListener):
     """Start, progress, pause and end of every cycle to the log."""
 

@@ -11,7 +11,7 @@ from newsgraph.plans.load import load_records
 from newsgraph.sinks.store import StarStore
 from newsgraph.sources.feeds import feed_addresses, feed_items, newest_items, read_feeds, stream_feeds
 from newsgraph.sources.tables import landed_pages, query_scan
-from newsgraph.streaming.cycle import pick_stream, run_cycles, watch
+from newsgraph.streaming.cycle import keep_running, pick_stream, run_cycles, watch
 
 NOW = dt.datetime(2016, 12, 8, tzinfo=dt.timezone.utc)
 FEEDS = str(FIXTURES / "feeds")
@@ -78,6 +78,22 @@ def test_stream_equals_batch(spark, tmp_path, to_records):
     spark.streams.removeListener(log)
 
 
+def test_restart_after_failure(spark, tmp_path, to_records):
+    store, calls = StarStore(spark, str(tmp_path / "s")), []
+
+    def flaky(channels):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+        return to_records(channels)
+
+    def start():
+        return run_cycles(stream_feeds(spark, FEEDS), store, str(tmp_path / "c"), flaky, once=True, now=NOW)
+
+    keep_running(start, pause=0, restarts=1)
+    assert star(store) == WANTED and len(calls) == 2
+
+
 def test_page_stream(spark, tmp_path, site_pages):
     site_pages.repartition(3).write.parquet(str(tmp_path / "landing"))
     landed = spark.readStream.schema(site_pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "landing"))

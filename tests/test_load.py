@@ -120,6 +120,21 @@ def test_all_articles_of_a_contact(spark, store):
         ("ann@example.com", "T2", None, None)]
 
 
+def test_all_topics_of_an_article(spark, store):
+    item = lambda mail, title, topic, pos: (mail, "N", title, "l", topic, 1, pos)
+    data = [item("a@example.com", "T1", "Rates", 0), item("a@example.com", "T1", "Rent", 0),
+            item("a@example.com", "T1", "Rent", 0), item("b@example.com", "T2", None, 1),
+            item("a@example.com", "T3", "Late", 2)]
+    df = spark.createDataFrame(data, COLUMNS).select("*", F.lit("f").alias("feed"))
+    base = records(spark, FIRST).drop(*df.columns)
+    df = df.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema))
+    load_records(store, df, topics="all", now=NOW)
+    assert facts(store) == [
+        ("a@example.com", "T1", "Rates", 1), ("a@example.com", "T1", "Rent", 1), ("b@example.com", "T2", None, None)]
+    assert rows(store.read("article_subbeat"), "article_subbeats_id", "article_id") == [(1, 1), (2, 1), (3, 2)]
+    assert load_records(store, df, topics="all", now=NOW).rows["article"] == 0
+
+
 def test_default_topic(spark, store):
     data = [("a@example.com", "A", "T1", "l", "Other", 7), ("b@example.com", "B", "T2", "l", "", 7)]
     load_records(store, records(spark, data), now=NOW)

@@ -27,6 +27,7 @@ CASES = {
     "cluster": (text.cluster_id, [("t,cluster=5", "5"), ("none", None), ("a=b=c", "b"), ("a=", "")]),
     "numeric": (text.is_numeric, [
         ("12", True), (" 12 ", True), ("1,000", True), ("abc", False), ("", False), ("1.5", True), (None, False),
+        ("12d", False), ("1e5", True), ("-.5", True), (".", False), ("1.2.3", False),
     ]),
     "link": (text.link_class, [
         ("http://twitter.com/a", "twitter"), ("https://www.linkedin.com/in/a", "linkedin"),
