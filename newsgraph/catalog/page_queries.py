@@ -46,7 +46,7 @@ def _facts(spark, sf):
     """Article facts of the site items (the pages are picked once)."""
     picked = picked_pages(st.pages(spark, sf))
     links = st.items(spark, sf).select("item_id", F.col("link").alias("url"))
-    return links.join(article_facts(picked), "url"), picked
+    return article_facts(links.join(picked, "url"), "item_id"), picked
 
 
 @query(

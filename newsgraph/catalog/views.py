@@ -33,7 +33,7 @@ def page_items(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("cluster="), part(3)).alias("guid_text"),
         F.concat(
             F.date_format(
-                F.timestamp_seconds(F.lit(1480932000) + F.col("page_id") * 60),
+                F.expr("timestamp_ntz'2016-12-05 10:00:00' + make_dt_interval(0, 0, page_id)"),
                 "EEE, dd MMM yyyy HH:mm:ss",
             ),
             F.lit(" GMT"),

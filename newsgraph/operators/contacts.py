@@ -63,11 +63,13 @@ def _entry_rows(df: DataFrame, *entries: Column) -> DataFrame:
     )
 
 
-def article_facts(picked: DataFrame) -> DataFrame:
-    """One row per page with the byline text and the contact links it shows."""
+def article_facts(picked: DataFrame, *keep: str) -> DataFrame:
+    """One row per page with the byline text and the contact links it shows,
+    next to the columns in ``keep``."""
     icons = first_of("icons")["pos"]
     byline = F.coalesce(*(first_of(n)["text"] for n in ("author", "name_span", "metabar_span")))
     facts = picked.select(
+        *keep,
         "url",
         name_before_comma(byline).alias("byline"),
         first_of("author").isNotNull().alias("has_author"),
@@ -187,18 +189,29 @@ def resolve_profiles(entries: DataFrame, profiles: DataFrame) -> DataFrame:
     return entries.where(~marked).unionByName(found)
 
 
+def pages_of(picked: DataFrame, links: DataFrame) -> DataFrame:
+    """The picked pages that any of the links lead to, each once."""
+    return picked.join(links.where(F.col("url").isNotNull()).distinct(), "url", "left_semi")
+
+
 def contact_entries(
     items: DataFrame, picked: DataFrame, gazetteer: DataFrame, model=None
 ) -> DataFrame:
     """All profile entries of the items ``(item_id, link)``.
 
     Three equi-joins on page addresses: article, author page, profile page. An
-    item whose article page was not landed gives no entries. The facts of the
-    items feed three branches and are written once.
+    item whose article page was not landed gives no entries. Only pages that
+    the items lead to are looked at, so a small batch costs a scan of the
+    picked table and no more. Facts and entries feed several branches and are
+    written once.
     """
     links = items.select("item_id", F.col("link").alias("url"))
-    facts = stage(links.join(article_facts(picked), "url"), "facts")
-    rows = page_entries(facts).unionByName(bio_entries(facts, bio_links(picked)))
-    return resolve_profiles(rows, profile_facts(picked, gazetteer)).unionByName(
+    facts = stage(article_facts(links.join(picked, "url"), "item_id"), "facts")
+    authors = pages_of(picked, facts.select(F.col("author_url").alias("url")))
+    rows = stage(
+        page_entries(facts).unionByName(bio_entries(facts, bio_links(authors))), "entries"
+    )
+    profiles = pages_of(picked, rows.where(F.col("tag") == _PROFILE).select(F.col("value").alias("url")))
+    return resolve_profiles(rows, profile_facts(profiles, gazetteer)).unionByName(
         byline_entries(facts, gazetteer, model)
     )

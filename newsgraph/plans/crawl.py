@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from newsgraph.operators.contacts import ARTICLE_PICKS, BIO_PICKS, PROFILE_PICKS, contact_entries
+from newsgraph.operators.contacts import ARTICLE_PICKS, BIO_PICKS, PROFILE_PICKS, contact_entries, pages_of
 from newsgraph.operators.dedupe import first_per_email
 from newsgraph.operators.elements import may_match, pick_elements
 from newsgraph.operators.lookups import beat_ids
@@ -55,5 +55,6 @@ def crawl(
     records = crawl_records(items, contact_rows(entries))
     if one_per_contact:
         records = first_per_email(records, ["feed", "pos"])
-    stories = valid_topics(story_topics(picked), gazetteer, model)
+    beat_pages = pages_of(picked, items.select(F.col("beat_link").alias("url")))
+    stories = valid_topics(story_topics(beat_pages), gazetteer, model)
     return attach_topics(beat_ids(records, beats), stories, topics)

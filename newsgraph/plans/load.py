@@ -132,8 +132,7 @@ def load_bridge(
     Article ids of a load are dense already, so with one row per article the
     bridge ids follow from them without another sort.
     """
-    sub_beats = merge_rows(load.stored("sub_beat"), load.added("sub_beat"))
-    default_id = default_member_id(sub_beats)
+    default_id = default_member_id(load.stored("sub_beat"))  # topics of this load included
     if records is not None:
         listed = records.select(*ORDER, "sub_beat_topic").distinct()
         pairs = articles.select("article_id", *ORDER).join(listed, ORDER).drop(*ORDER)

@@ -150,6 +150,7 @@ class Load:
         self.rows: dict[str, int] = {}
 
     def stored(self, table: str) -> DataFrame:
+        """Committed rows and those this load has written so far."""
         return self.store.read(table, self.manifest)
 
     def highest(self, table: str) -> int:
