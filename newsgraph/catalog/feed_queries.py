@@ -132,7 +132,7 @@ WHERE rn <= 50""",
 )
 def newest_per_feed(spark, sf):
     events = v.table(spark, sf, "events")
-    as_of = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    as_of = v.latest(events, "ts")
     newest = newest_items(
         events.select("ts", "event_id", F.col("event_type").alias("feed")), as_of, "ts", "feed", "event_id"
     )

@@ -97,7 +97,7 @@ def layout(spark, sf):
 )
 def retention(spark, sf):
     events = v.table(spark, sf, "events")
-    as_of = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    as_of = v.latest(events, "ts")
     return kept(events, "ts", as_of).select("event_id")
 
 

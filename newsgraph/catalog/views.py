@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def latest(df: DataFrame, column: str):
+    """Literal of the latest value of a time column, free of any time zone."""
+    return F.lit(str(df.agg(F.max(column)).first()[0])).cast("timestamp_ntz")
+
+
 # -- pages as feed items ------------------------------------------------------
 NAV_LINK = r'<li><a href="[^"]*">([^<]*)</a></li>'
 URL_PARTS = r"^https?://([^/]+)/([a-z]+)/([^?#/]+)"
