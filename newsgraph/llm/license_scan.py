@@ -44,10 +44,15 @@ def normalized(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
+#: Pieces of a notice that must stand unchanged near each other.
+INTACT = 2
+
+
 def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
-    """The notice cut into edits + 1 pieces (start, piece): with at most that
-    many edits, one piece stands in the text unchanged."""
-    cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
+    """The notice cut into edits + INTACT pieces (start, piece): with at most
+    that many edits, INTACT pieces stand in the text unchanged."""
+    n = edits + INTACT
+    cuts = [len(notice) * i // n for i in range(n + 1)]
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -69,10 +74,16 @@ class Scanner:
     def windows(self, text: str) -> dict[int, list[list[int]]]:
         """Per notice the stretches of text that a match with edits can lie in."""
         found: dict[int, list[list[int]]] = {}
+        recent: dict[int, list[tuple[int, int]]] = {}
         for end, (size, owners) in self.automaton.iter(text):
             for k, at in owners:
                 notice, _, edits = self.notices[k]
                 start = end - size + 1 - at
+                # edits move the start that a piece implies by as many characters at most
+                near = [x for x in recent.get(k, ()) if x[0] >= start - len(notice) - edits]
+                recent[k] = [*near, (start, at)]
+                if not any(abs(s - start) <= edits and a != at for s, a in near):
+                    continue
                 low, high = max(0, start - edits), min(len(text), start + len(notice) + edits)
                 spans = found.setdefault(k, [])
                 if spans and low <= spans[-1][1]:
