@@ -26,14 +26,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from newsgraph.llm.common import Written, small, written
 from newsgraph.llm.components import components
 from newsgraph.llm.shingles import mix, shingle_set
 
 #: Groups up to this many sets are compared pair by pair; larger ones by pivot.
-PAIRWISE = 8
+PAIRWISE = 16
+#: The same for the groups of later levels, whose tokens are rare ones.
+LATER_PAIRWISE = 64
 #: Buckets of the count sketch, whose distance bounds the set distance from below.
 SKETCH = 64
 #: Taken chance that a token of one set is in another set of its band (cost model).
@@ -168,11 +170,12 @@ def _near(batches, threshold: int) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches, threshold: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, linked, index, probe): exact comparison of a pivot ``a`` with ``b``.
+    """(a, b, linked, diff, n_index, n_probe): exact comparison of ``a`` with ``b``.
 
-    For pairs of a large group also the tokens by which ``b`` meets others:
-    ``index`` as a partner of an unlinked set, ``probe`` as an unlinked set.
-    Tokens that the pivot lacks come first, as they are rarer.
+    For pairs of a large group with its pivot ``a`` also the tokens in which they
+    differ, and how many of these, rarest first, ``b`` needs to meet others: as
+    a partner of a set that the pivot does not link (n_index), and as such a set
+    itself (n_probe, 0 if linked).
     """
     for batch in batches:
         rows: list[tuple] = []
@@ -181,24 +184,41 @@ def _verify(batches, threshold: int) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
             common = np.intersect1d(x, y, assume_unique=True).size
             linked = 100 * common >= threshold * (x.size + y.size - common)
-            index = probe = None
+            diff, n_index, n_probe = None, 0, 0
             if heavy:
-                added = np.sort(np.setdiff1d(y, x, assume_unique=True))
-                gone = np.sort(np.setdiff1d(x, y, assume_unique=True))
-                diff = np.concatenate((added, gone))
+                diff = np.setxor1d(x, y, assume_unique=True)
                 most = _slack(y.size, threshold)
                 # the least difference from the pivot that an unlinked partner has
                 least = (100 - threshold) * (-(-threshold * y.size // 100) + x.size) // (100 + threshold) + 1
                 least = max(least, diff.size - most)
+                # so many differences from the pivot a linked pair has in common at least
                 overlap = max(1, -(-(least + diff.size - most) // 2))
-                index = diff[:max(0, diff.size - overlap + 1)].view(np.int64).tolist()
-                if not linked:
-                    probe = diff[:min(diff.size, most + 1)].view(np.int64).tolist()
-            rows.append((a, b, linked, index, probe))
+                n_index = max(0, diff.size - overlap + 1)
+                n_probe = 0 if linked else min(diff.size, most + 1)
+                diff = diff.view(np.int64).tolist()
+            rows.append((a, b, linked, diff, n_index, n_probe))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
-                (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
-            ["a", "b", "linked", "index", "probe"])
+                (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64()))],
+            ["a", "b", "linked", "diff", "n_index", "n_probe"])
+
+
+def _next_level(judged: DataFrame) -> DataFrame:
+    """(sig, class, own): the sets of each pivot, under the tokens of their
+    prefixes. Tokens are ranked by the number of sets of the pivot that have
+    them, so what all share (as what the pivot alone lacks) comes last."""
+    tokens = Written(judged.where("diff is not null").select(
+        "a", "b", "n_index", "n_probe", F.explode("diff").alias("token")), "differences")
+    shared = tokens.df.groupBy("a", "token").agg(F.count("*").alias("_count"))
+    turn = F.row_number().over(Window.partitionBy("a", "b").orderBy("_count", "token"))
+    prefix = written(
+        tokens.df.join(shared, ["a", "token"]).withColumn("_turn", turn)
+        .where("_turn <= greatest(n_index, n_probe) and _count > 1")
+        .select(F.xxhash64("a", "token").alias("sig"), F.col("b").alias("class"),
+                (F.col("_turn") <= F.col("n_probe")).alias("probe")), "prefixes")
+    tokens.drop()
+    probed = prefix.where("probe").select("sig").distinct()
+    return prefix.join(probed, "sig", "left_semi").select("sig", "class", F.lit(True).alias("own")).distinct()
 
 
 def _candidates(rows: DataFrame, pairwise: int) -> DataFrame:
@@ -243,7 +263,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, width: int,
     links: list[DataFrame] = []
     done: DataFrame | None = None
     while True:
-        pairs = _candidates(rows, pairwise)
+        pairs = written(_candidates(rows, pairwise), "candidates")
         if done is not None:  # pairs with a pivot are compared again: the others of its group need their tokens
             pairs = pairs.join(done.distinct().withColumn("_seen", F.lit(True)), ["a", "b"], "left").where(
                 "heavy or _seen is null").drop("_seen")
@@ -259,35 +279,30 @@ def linked_classes(docs: DataFrame, classes: DataFrame, width: int,
             kept.join(wide, "a", "left")
             .select("a", "b", F.coalesce(F.col("heavy") & F.col("wide"), F.lit(False)).alias("heavy"), "near")
             .where("near or heavy"), "pairs")
-        if kept.isEmpty():
+        shape = kept.agg(F.count("*"), F.max("heavy")).first()
+        if not shape[0]:
             break
-        wanted = kept.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("class"), "class", "left_anti")
-        wanted = written(wanted.join(classes.select("class", "doc_id"), "class"), "wanted")
-        more = written(
-            source.join(small(wanted, 32), "doc_id").select("class", "text")
-            .mapInArrow(partial(_sets, width=width, text="text"), "class long, tokens binary")
-            .dropDuplicates(["class"]), "sets")
-        sets = more if sets is None else sets.unionByName(more)
+        any_heavy = shape[1]
+        if sets is None:  # later levels compare the same sets again
+            wanted = kept.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+            wanted = written(wanted.join(classes.select("class", "doc_id"), "class"), "wanted")
+            sets = written(
+                source.join(small(wanted, 32), "doc_id").select("class", "text")
+                .mapInArrow(partial(_sets, width=width, text="text"), "class long, tokens binary")
+                .dropDuplicates(["class"]), "sets")
         judged = written(
             kept.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("tokens_a")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tokens_b")), "b")
             .select("a", "b", "heavy", "tokens_a", "tokens_b")
             .mapInArrow(partial(_verify, threshold=threshold),
-                        "a long, b long, linked boolean, index array<long>, probe array<long>"), "judged")
+                        "a long, b long, linked boolean, diff array<long>, n_index long, n_probe long"), "judged")
         links.append(judged.where("linked").select("a", "b"))
         seen = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         done = seen if done is None else done.unionByName(seen)
-        key = F.xxhash64("a", "token")
-        index = judged.where("index is not null").select(
-            "a", F.explode("index").alias("token"), "b").select(key.alias("sig"), F.col("b").alias("class"))
-        probe = judged.where("probe is not null").select(
-            "a", F.explode("probe").alias("token"), "b").select(key.alias("sig"), F.col("b").alias("class"))
-        probes = probe.select("sig").distinct()
-        rows = written(
-            index.join(probes, "sig", "left_semi").select("sig", "class", F.lit(True).alias("own"))
-            .unionByName(probe.select("sig", "class", F.lit(True).alias("own"))).distinct(), "level")
+        if not any_heavy:
+            break
+        rows = written(_next_level(judged), "level")
+        pairwise = max(pairwise, LATER_PAIRWISE)
         if rows.isEmpty():
             break
     out = spark.createDataFrame([], "a long, b long")

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgraph.llm.common import BLANKS, words_of, written
 
-#: Rejects beyond the 1 - 1e-9 quantile of the chi-square distribution with 3 degrees of freedom.
-CUTOFF = 44.0
+#: Rejects beyond the 1 - 1e-10 quantile of the chi-square distribution with 3 degrees of freedom.
+CUTOFF = 50.0
 #: Share of a group's rows that the estimate rests on.
 SUPPORT = 0.75
-#: The least spread of each statistic that counts as one unit, and the rows such units are worth.
+#: The spread of each statistic that counts as one unit, and the rows such units are worth.
 UNITS = {"x1": 0.12, "x2": 0.08, "x3": 0.10}
 PRIOR_ROWS = 50
 #: Words of usual length that are added to every text, so that statistics of short texts vary less.
@@ -22,13 +22,14 @@ P = len(UNITS)
 
 
 def text_statistics(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines of a text, and its words."""
+    """Words, their code points, symbols, capitals A-Z, and the lines with a word."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
     return {
         "words": words_of(text),
         "word_chars": (F.length(text) - F.length(F.regexp_replace(text, f"[^{BLANKS}]+", ""))).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "n_capitals": (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))).cast("long"),
         "lines": lines,
     }
 
@@ -61,29 +62,30 @@ def with_repeats(df: DataFrame, words: str, out: str, window: int = 8) -> DataFr
 
 
 def measured(docs: DataFrame, id_column: str, text_column: str, lang: str, source: str) -> DataFrame:
-    """(doc_id, text_key, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    """(doc_id, text_key, lang, source, n_words, word_chars, n_symbols, n_capitals, n_dup_lines, n_repeat_words)."""
     text = F.col(text_column)
     s = text_statistics(text)
     df = docs.select(
         F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_key"),
         F.col(lang).alias("lang"), F.col(source).alias("source"),
         s["words"].alias("_words"), s["word_chars"].alias("word_chars"),
-        s["n_symbols"].alias("n_symbols"), s["lines"].alias("_lines"))
+        s["n_symbols"].alias("n_symbols"), s["n_capitals"].alias("n_capitals"), s["lines"].alias("_lines"))
     df = with_repeats(df, "_words", "n_repeat_words")
     return df.select(
         "doc_id", "text_key", "lang", "source", F.size("_words").cast("long").alias("n_words"), "word_chars",
-        "n_symbols", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        "n_symbols", "n_capitals", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words")
 
 
 def _transformed(stats: DataFrame) -> DataFrame:
-    """The statistic vector: log of mean word length, root of symbol density, root of
-    the share of repeated words - each over the text plus PRIOR_WORDS usual words."""
+    """The statistic vector: log of mean word length, roots of the shares of symbols
+    and of capitals - each over the text plus PRIOR_WORDS usual words. Repeats are
+    left to the base rule: a clean text may well repeat a line."""
     n = F.col("n_words") + PRIOR_WORDS
     return (
         stats.withColumn("x1", F.log((F.col("word_chars") + 5 * PRIOR_WORDS) / n))
         .withColumn("x2", F.sqrt(F.col("n_symbols") / (F.col("word_chars") + 5 * PRIOR_WORDS)))
-        .withColumn("x3", F.sqrt(F.col("n_repeat_words") / n)))
+        .withColumn("x3", F.sqrt(F.col("n_capitals") / (F.col("word_chars") + 5 * PRIOR_WORDS))))
 
 
 def _pairs() -> list[tuple[int, int]]:
