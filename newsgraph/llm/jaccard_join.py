@@ -169,13 +169,16 @@ def _near(batches, threshold: int) -> Iterator[pa.RecordBatch]:
             ["a", "b", "heavy", "near"])
 
 
-def _verify(batches, threshold: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, linked, diff, n_index, n_probe): exact comparison of ``a`` with ``b``.
+def _verify(batches, threshold: int, split: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, linked, diff, n_index, n_probe, far): exact comparison of ``a`` with ``b``.
 
     For pairs of a large group with its pivot ``a`` also the tokens in which they
     differ, and how many of these, rarest first, ``b`` needs to meet others: as
     a partner of a set that the pivot does not link (n_index), and as such a set
-    itself (n_probe, 0 if linked).
+    itself (n_probe, 0 if linked). On the first level (``split``) sets far from
+    the pivot are marked instead, and of the others those in between as well: two
+    linked sets differ from the pivot by nearly as much, so both are near or both
+    are far.
     """
     for batch in batches:
         rows: list[tuple] = []
@@ -185,7 +188,9 @@ def _verify(batches, threshold: int) -> Iterator[pa.RecordBatch]:
             common = np.intersect1d(x, y, assume_unique=True).size
             linked = 100 * common >= threshold * (x.size + y.size - common)
             diff, n_index, n_probe = None, 0, 0
-            if heavy:
+            apart, reach = x.size + y.size - 2 * common, _slack(y.size, threshold)
+            far = bool(heavy and split and apart > reach)
+            if heavy and not (split and apart > 6 * reach + 6):
                 diff = np.setxor1d(x, y, assume_unique=True)
                 most = _slack(y.size, threshold)
                 # the least difference from the pivot that an unlinked partner has
@@ -196,11 +201,11 @@ def _verify(batches, threshold: int) -> Iterator[pa.RecordBatch]:
                 n_index = max(0, diff.size - overlap + 1)
                 n_probe = 0 if linked else min(diff.size, most + 1)
                 diff = diff.view(np.int64).tolist()
-            rows.append((a, b, linked, diff, n_index, n_probe))
+            rows.append((a, b, linked, diff, n_index, n_probe, far))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
-                (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64()))],
-            ["a", "b", "linked", "diff", "n_index", "n_probe"])
+                (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()))],
+            ["a", "b", "linked", "diff", "n_index", "n_probe", "far"])
 
 
 def _next_level(judged: DataFrame) -> DataFrame:
@@ -221,6 +226,38 @@ def _next_level(judged: DataFrame) -> DataFrame:
     return prefix.join(probed, "sig", "left_semi").select("sig", "class", F.lit(True).alias("own")).distinct()
 
 
+def _exploded(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            sets = [np.frombuffer(t, np.int64) for t in part.column("tokens").to_pylist()]
+            sizes = [s.size for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(part.column("class").to_numpy(), sizes)), pa.array(np.concatenate(sets)),
+                 pa.array(np.repeat(np.array(sizes, np.int64), sizes))], ["class", "token", "n"])
+
+
+def _rare_tokens(judged: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(sig, class, own): sets far from a pivot, each once, under the rarest of
+    their tokens. Linked sets share one of the first slack + 1 tokens (prefix rule)."""
+    far = judged.where("far").select(F.col("b").alias("class")).distinct()
+    tokens = Written(sets.join(far, "class", "left_semi").mapInArrow(
+        _exploded, "class long, token long, n long"), "far")
+    shared = tokens.df.groupBy("token").agg(F.count("*").alias("_count")).where("_count > 1")
+    # tokens of one set only come first in the order and take a place, but meet nothing
+    alone = tokens.df.join(shared, "token", "left_semi").groupBy("class").agg(
+        F.count("*").alias("_shared"), F.first("n").alias("n"))
+    room = F.expr(f"n * {100 - threshold} div {threshold} + 1 - (n - _shared)")
+    turn = F.row_number().over(Window.partitionBy("class").orderBy("_count", "token"))
+    out = written(
+        tokens.df.select("class", "token").join(shared, "token").join(
+            alone.select("class", room.alias("_room")).where("_room > 0"), "class")
+        .withColumn("_turn", turn).where("_turn <= _room")
+        .select(F.xxhash64(F.lit("far"), "token").alias("sig"), "class", F.lit(True).alias("own")), "rare")
+    tokens.drop()
+    return out
+
+
 def _candidates(rows: DataFrame, pairwise: int) -> DataFrame:
     """(a, b, heavy) from (sig, class, own): all pairs of small groups, pairs
     with the smallest own member (the pivot) of large ones."""
@@ -294,14 +331,19 @@ def linked_classes(docs: DataFrame, classes: DataFrame, width: int,
             kept.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("tokens_a")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tokens_b")), "b")
             .select("a", "b", "heavy", "tokens_a", "tokens_b")
-            .mapInArrow(partial(_verify, threshold=threshold),
-                        "a long, b long, linked boolean, diff array<long>, n_index long, n_probe long"), "judged")
+            .mapInArrow(partial(_verify, threshold=threshold, split=done is None),
+                        "a long, b long, linked boolean, diff array<long>, n_index long, n_probe long, far boolean"),
+            "judged")
+        first_level = done is None
         links.append(judged.where("linked").select("a", "b"))
         seen = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         done = seen if done is None else done.unionByName(seen)
         if not any_heavy:
             break
-        rows = written(_next_level(judged), "level")
+        rows = _next_level(judged)
+        if first_level:
+            rows = rows.unionByName(_rare_tokens(judged, sets, threshold))
+        rows = written(rows, "level")
         pairwise = max(pairwise, LATER_PAIRWISE)
         if rows.isEmpty():
             break
