@@ -26,7 +26,7 @@ BLOCK = 1024         # nodes of a block of the start
 ROUNDS = 5           # rounds at most; fewer once less than SETTLED of the edges change
 SETTLED = 0.01
 BEAM = 96            # nodes kept per query
-EXPAND = 24          # nodes expanded per query and step
+EXPAND = 64          # nodes expanded per query and step
 ENTRIES = 256        # entry nodes; a bounded table
 BITS = 16            # sign bits of a random order
 

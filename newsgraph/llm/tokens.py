@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-#: Pieces whose ids a task remembers at most; then it starts anew.
-MEMORY = 300_000
+#: Pieces whose ids a worker remembers at most (about 150 MB); then it starts anew.
+MEMORY = 1_000_000
 #: A blank before another white space or the end: only there a cut at blanks is not one before a word.
 _ODD_BLANK = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
@@ -53,6 +53,12 @@ class Encoder:
         return b"".join(map(known.__getitem__, pieces))
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One encoder per worker process, so that its memory outlives a task."""
+    return Encoder(path)
+
+
 def packed(ids: np.ndarray) -> bytes:
     """Ids compressed for a written table: two bytes each where they fit."""
     wide = ids.size and int(ids.max()) > 0xFFFF
@@ -66,7 +72,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _encode(batches, path: str, end: int, extra) -> Iterator[pa.RecordBatch]:
-    encode = Encoder(path)
+    encode = _encoder(path)
     tail = np.array([end], "<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
