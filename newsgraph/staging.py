@@ -39,7 +39,9 @@ def staging_root(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_roots.setdefault(app, tempfile.mkdtemp(prefix="newsgraph-"))
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="newsgraph-")
+        base = _local_roots[app]
     return f"{base.rstrip('/')}/newsgraph/{app}"
 
 

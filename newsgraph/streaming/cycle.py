@@ -7,7 +7,9 @@ that was committed before a failure is skipped when it is replayed.
 
 from __future__ import annotations
 
+import collections
 import logging
+import threading
 import time
 from collections.abc import Callable
 
@@ -55,22 +57,31 @@ def run_cycles(
     once: bool = False,
     **load_options,
 ) -> StreamingQuery:
-    """Start the stream. ``once`` works off what has landed and stops."""
+    """Start the stream. ``once`` works off what has landed and stops.
+
+    A batch counts as loaded before only for the query id that the checkpoint
+    keeps: with another checkpoint Spark numbers batches from 0 again.
+    """
+    started, source = threading.Event(), []
 
     def load(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
         with scope(store.spark):
             load_records(
-                store, to_records(batch), source=name, source_batch=batch_id, **load_options
+                store, to_records(batch), source=source[0], source_batch=batch_id, **load_options
             )
             store.tidy()
 
-    return (
+    query = (
         stream.writeStream.queryName(name)
         .option("checkpointLocation", checkpoint)
         .trigger(**_trigger(once))
         .foreachBatch(load)
         .start()
     )
+    source.append(f"{name}:{query.id}")
+    started.set()
+    return query
 
 
 def keep_running(
@@ -95,10 +106,10 @@ def keep_running(
 
 
 class CycleLog(StreamingQueryListener):
-    """Start, progress, pause and end of every cycle to the log."""
+    """Start, progress, pause and end of every cycle to the log; the last progress is kept."""
 
     def __init__(self) -> None:
-        self.progress: list[dict] = []
+        self.progress: collections.deque[dict] = collections.deque(maxlen=100)
 
     def onQueryStarted(self, event) -> None:
         log.info("cycle %s started", event.name)

@@ -1,6 +1,8 @@
 """Feed files to the star schema, as a batch and as a stream."""
 
 import datetime as dt
+from pathlib import Path
+import os
 
 import pytest
 from conftest import FIXTURES, rows
@@ -65,19 +67,38 @@ def test_crawl_records(spark, to_records):
     assert got["jane@example.com"]["pos"] == 0
 
 
-def test_stream_equals_batch(spark, tmp_path, to_records):
-    log = watch(spark)
-    store = StarStore(spark, str(tmp_path / "s"))
+@pytest.mark.parametrize("reverse", [False, True])
+def test_stream_equals_the_same_batches_in_order(spark, tmp_path, to_records, reverse):
+    """Copies of a story over several batches: the first stays, as in batch loads of the same files."""
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    files = sorted(Path(FEEDS).glob("*.xml"), reverse=reverse)
+    for i, file in enumerate(files):
+        target = landing / file.name
+        target.write_bytes(file.read_bytes())
+        os.utime(target, (1_000_000_000 + 60 * i,) * 2)
+    store, batches = StarStore(spark, str(tmp_path / "s")), StarStore(spark, str(tmp_path / "b"))
     args = dict(checkpoint=str(tmp_path / "c"), to_records=to_records, once=True, now=NOW)
-    run_cycles(stream_feeds(spark, FEEDS, files_per_batch=1), store, **args).awaitTermination()
-    assert star(store) == WANTED
-    assert store.read("run_log").count() == 3  # one per file, the broken one gives no records
+    log = watch(spark)
+    run_cycles(stream_feeds(spark, str(landing), files_per_batch=1), store, **args).awaitTermination()
+    for file in files:
+        load_records(batches, to_records(read_feeds(spark, str(landing / file.name))), now=NOW)
+    assert star(store) == star(batches)
+    assert store.read("run_log").count() == len(files)
     before = store.manifest()
-    run_cycles(stream_feeds(spark, FEEDS, files_per_batch=1), store, **args).awaitTermination()
+    run_cycles(stream_feeds(spark, str(landing), files_per_batch=1), store, **args).awaitTermination()
     assert store.manifest() == before  # nothing new landed
     spark.streams.removeListener(log)
 
 
+def test_second_source_with_a_new_checkpoint_is_loaded(spark, tmp_path, to_records):
+    store = StarStore(spark, str(tmp_path / "s"))
+    run_cycles(stream_feeds(spark, FEEDS), store, str(tmp_path / "c1"),
+               lambda channels: to_records(channels).limit(0), once=True, now=NOW).awaitTermination()
+    run_cycles(stream_feeds(spark, FEEDS), store, str(tmp_path / "c2"), to_records, once=True, now=NOW).awaitTermination()
+    assert star(store) == WANTED
+
+
 def test_restart_after_failure(spark, tmp_path, to_records):
     store, calls = StarStore(spark, str(tmp_path / "s")), []
 
