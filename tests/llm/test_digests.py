@@ -1,4 +1,4 @@
-"""Warc, url, sharding and mix queries against plain Python, with nulls, repeats and empty tables."""
+"""Warc, url, sharding and mix queries against plain Python, with nulls and repeats."""
 
 from __future__ import annotations
 
