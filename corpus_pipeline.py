@@ -76,8 +76,7 @@ STAGES = [
     ("source_mix", source_mix),
     ("packing", packing),
 ]
-#: The robust estimates, the random keys and the tokens are not SQL; tests/llm
-#: compare the stages with plain Python instead.
+#: The robust estimates, the random keys and the tokens are not SQL.
 ORACLE_SQL = None
 
 
