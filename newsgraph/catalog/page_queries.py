@@ -44,7 +44,7 @@ def element_pick(spark, sf):
 
 def _facts(spark, sf):
     """Article facts of the site items (the pages are picked once)."""
-    picked = picked_pages(st.pages(spark, sf))
+    picked = picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism)
     links = st.items(spark, sf).select("item_id", F.col("link").alias("url"))
     return article_facts(links.join(picked, "url"), "item_id"), picked
 
@@ -94,7 +94,7 @@ SELECT tw_url AS url, bio, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE own_email EN
   CASE WHEN known THEN n_name END AS place FROM site""",
 )
 def profile_card(spark, sf):
-    return profile_facts(picked_pages(st.pages(spark, sf)), st.names(spark, sf))
+    return profile_facts(picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism), st.names(spark, sf))
 
 
 @query(
@@ -105,7 +105,7 @@ UNION ALL SELECT beat_url, k, n_name || ' news' FROM site WHERE NOT known
 UNION ALL SELECT beat_url, '9' || k, 'Wrong one' FROM site""",
 )
 def topics_of_stories(spark, sf):
-    topics = story_topics(picked_pages(st.pages(spark, sf)))
+    topics = story_topics(picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism))
     return valid_topics(topics, st.names(spark, sf)).select("beat_link", "cid", "topic")
 
 
@@ -151,7 +151,7 @@ SELECT k AS item_id, CAST(NULL AS VARCHAR) AS country, {_CONTACT_COLUMNS} FROM f
 def find_contacts(spark, sf):
     """Pages to contact rows: byline, icons, author page, profile page, gate,
     eligibility, distinct profile and pivot in one plan."""
-    picked = picked_pages(st.pages(spark, sf))
+    picked = picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism)
     entries = contact_entries(st.items(spark, sf), picked, st.names(spark, sf))
     return contact_rows(entries)
 
@@ -170,7 +170,7 @@ FROM loaded l LEFT JOIN topics t ON t.topic = l.topic""",
 )
 def crawl_to_star(spark, sf):
     """Feed items and landed pages to the stored star schema, read back."""
-    picked = picked_pages(st.pages(spark, sf))
+    picked = picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism)
     records = crawl(
         st.items(spark, sf), picked, st.segment_beats(spark, sf), st.names(spark, sf)
     )

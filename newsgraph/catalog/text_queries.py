@@ -83,10 +83,10 @@ def location_words(spark, sf):
 @query(
     "str_6_state_country",
     """SELECT doc_id, list_extract(string_split(text, ','), 1) AS state,
-  list_extract(string_split(text, ','), 2) AS country FROM documents WHERE text <> ''""",
+  list_extract(string_split(text, ','), 2) AS country FROM documents""",
 )
 def state_country(spark, sf):
-    docs = v.table(spark, sf, "documents").where("text <> ''")
+    docs = v.table(spark, sf, "documents")
     return docs.select(
         "doc_id",
         text.state_of(F.col("text")).alias("state"),

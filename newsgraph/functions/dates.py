@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# The zone names of RFC 822; other names count as UTC.
+ZONES = {
+    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+
+# optional weekday, day, month, year, time with optional seconds, optional zone
+_FEED_DATE = (
+    r"^\s*(?:[A-Za-z]+\.?,?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4}|\d{2})"
+    r"\s+(\d{1,2}:\d{2})(:\d{2})?\s*([A-Za-z]+|[+-]\d{4})?\s*$"
+)
+
 
 def exact_timestamp(text: Column) -> Column:
     """Timestamp of a text that is exactly ``yyyy-MM-dd HH:mm:ss``, else null."""
@@ -12,11 +24,24 @@ def exact_timestamp(text: Column) -> Column:
 
 
 def feed_timestamp(text: Column) -> Column:
-    """Timestamp of an RFC-1123 date such as ``Mon, 05 Dec 2016 10:00:00 GMT``.
+    """Timestamp of an RFC-822 date such as ``Mon, 05 Dec 2016 10:00:00 GMT``.
 
-    The weekday and the zone are cut off; feeds publish in GMT.
+    Weekday, seconds and zone may be missing, days have one or two digits, years
+    two or four; the zone is a name or an offset. No zone means UTC, whatever
+    the session's time zone is. Any other text gives null.
     """
-    return F.try_to_timestamp(F.substring(text, 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, _FEED_DATE, i)
+
+    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) < "50", F.concat(F.lit("20"), part(3))).otherwise(
+        F.concat(F.lit("19"), part(3)))
+    seconds = F.when(part(5) == "", ":00").otherwise(part(5))
+    zones = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
+    zone = F.when(part(6).rlike("^[+-]"), part(6)).otherwise(
+        F.coalesce(F.try_element_at(zones, F.upper(part(6))), F.lit("+0000")))
+    shaped = F.concat_ws(" ", part(1), F.initcap(part(2)), year, F.concat(part(4), seconds), zone)
+    return F.when(text.rlike(_FEED_DATE), F.try_to_timestamp(shaped, F.lit("d MMM yyyy H:mm:ss xx")))
 
 
 def day_label(ts: Column) -> Column:

@@ -9,7 +9,7 @@ the returned array, so the page texts are never shuffled.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,12 +21,17 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-RAW_TEXT = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style")}
+RAW_TEXT = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
 
-# ASCII, so that white space means the same here and in the JVM pre-filter
+# ASCII, so that white space means the same here and in the JVM pre-filter. A
+# quote opens a string only where an attribute value starts. Nothing is read
+# twice: a comment or tag without an end takes the rest of the page.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""",
-    re.S | re.A,
+    r"""<!--.*?(?:-->|\Z)
+      | <(/?)([a-zA-Z][^\s/>]*+)
+        ((?:[^>=]++ | =\s*+(?:"[^"]*+" | '[^']*+' | [^\s>"'][^\s>]*+ | (?=>)))*+)(>?)
+      | <[!?][^>]*(?:>|\Z)""",
+    re.S | re.A | re.X,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.A)
 
@@ -71,19 +76,21 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _scope_of(pick: Pick, stack: list[_Open]) -> int | None:
-    """Position of the element that scopes the pick; -1 without a scope."""
+def _scope_of(pick: Pick, stack: list[_Open], inside: dict[str, list[int]]) -> int | None:
+    """Position of the element that scopes the pick; -1 without a scope.
+    ``inside`` has the positions of the open elements of every pick."""
     if pick.child_of:
         return stack[-1].matched.get(pick.child_of) if stack else None
     if pick.inside:
-        return next((o.matched[pick.inside] for o in reversed(stack) if pick.inside in o.matched), None)
+        return inside[pick.inside][-1] if inside[pick.inside] else None
     return -1
 
 
 def scan(html: str | None, picks: Sequence[Pick]) -> list[list]:
     """Picked elements of one page in document order.
 
-    Unclosed elements end with their parent, stray end tags are ignored.
+    Unclosed elements end with their parent, stray end tags are ignored; a tag
+    that the page cuts off is none. Time is linear in the page.
     """
     by_tag: dict[str, list[Pick]] = {}
     any_tag = [pick for pick in picks if pick.tag is None]
@@ -94,12 +101,15 @@ def scan(html: str | None, picks: Sequence[Pick]) -> list[list]:
     texts: list[str] = []
     stack: list[_Open] = []
     opened: Counter[str] = Counter()
+    inside: defaultdict[str, list[int]] = defaultdict(list)
     html = html or ""
     at = position = 0
 
     def close() -> None:
         done = stack.pop()
         opened[done.tag] -= 1
+        for name in done.matched:
+            inside[name].pop()
         if done.rows:
             text = "".join(texts[done.text_from:])
             for row in done.rows:
@@ -111,6 +121,9 @@ def scan(html: str | None, picks: Sequence[Pick]) -> list[list]:
         at = token.end()
         if not token[2]:
             continue
+        if not token[4]:  # cut off inside a tag
+            at = len(html)
+            break
         tag = token[2].lower()
         if token[1]:
             if opened[tag] > 0:
@@ -127,7 +140,7 @@ def scan(html: str | None, picks: Sequence[Pick]) -> list[list]:
             for pick in (*wanted, *any_tag):
                 if pick.attr and attributes.get(pick.attr) != pick.value:
                     continue
-                scope = _scope_of(pick, stack)
+                scope = _scope_of(pick, stack, inside)
                 if scope is None:
                     continue
                 element.matched[pick.name] = position
@@ -141,6 +154,8 @@ def scan(html: str | None, picks: Sequence[Pick]) -> list[list]:
             continue
         stack.append(element)
         opened[tag] += 1
+        for name, where in element.matched.items():
+            inside[name].append(where)
         if tag in RAW_TEXT and not token[3].endswith("/"):
             end = RAW_TEXT[tag].search(html, at)
             at = end.start() if end else len(html)
@@ -169,21 +184,18 @@ def may_match(picks: Sequence[Pick], html: str = "html") -> Column:
     return F.col(html).rlike(shown)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that came as fewer partitions than there are.
+def pick_elements(
+    pages: DataFrame, picks: Sequence[Pick], key: str = "url", partitions: int | None = None
+) -> DataFrame:
+    """(key, picks): for every page the array of its picked elements.
 
-    A large input already has more partitions and is not moved.
+    Pages stay in the partitions they come in, unless a caller that knows they
+    are few asks for a number of ``partitions``.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def pick_elements(pages: DataFrame, picks: Sequence[Pick], key: str = "url") -> DataFrame:
-    """(key, picks): for every page the array of its picked elements."""
     wanted = tuple(picks)
-    source = spread(pages.select(key, "html"))
+    source = pages.select(key, "html")
+    if partitions:
+        source = source.repartition(partitions)
     key_field = source.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,8 +15,6 @@ from newsgraph.staging import stage
 
 # monotonically_increasing_id() puts the partition above bit 33
 _PARTITION_SHIFT = 33
-#: batches of at most this many counted rows are numbered in one task
-ONE_TASK_ROWS = 20_000
 
 
 def dense_numbers(
@@ -24,22 +22,15 @@ def dense_numbers(
     order_by: Sequence[str],
     number: str,
     after: int | Column = 0,
-    at_most: int | None = None,
 ) -> DataFrame:
     """Add ``number``: ``after + 1, after + 2, ...`` in the order of ``order_by``.
 
     Equal to a global ``row_number()`` when the order columns are unique per
     row. The sorted rows are written before they are counted, so that the
     counts and the numbers come from the same partitions even when a task is
-    run again.
-
-    A caller that has counted its rows passes the bound as ``at_most``; a
-    micro-batch below ``ONE_TASK_ROWS`` is then numbered in one task.
+    run again. The sort samples its input first, so pass a written frame.
     """
     start = after if isinstance(after, Column) else F.lit(after)
-    if at_most is not None and at_most <= ONE_TASK_ROWS:
-        position = F.row_number().over(Window.orderBy(*order_by))
-        return df.withColumn(number, (position + start).cast("bigint"))
     slotted = stage(
         df.orderBy(*order_by).withColumn("_slot", F.monotonically_increasing_id()), "numbered"
     )

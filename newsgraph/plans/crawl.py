@@ -16,22 +16,23 @@ from newsgraph.staging import stage
 ALL_PICKS = [*ARTICLE_PICKS, *BIO_PICKS, *PROFILE_PICKS, *BEAT_PICKS]
 
 
-def pick_pages(pages: DataFrame) -> DataFrame:
+def pick_pages(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """Picked elements of landed pages, for a batch or for a stream of pages.
 
     Pages that show none of the wanted elements never reach Python.
+    ``partitions`` deals them anew, for a table in few large files.
     """
     candidates = pages.where(may_match(ALL_PICKS))
-    return pick_elements(candidates, ALL_PICKS).where(F.size("picks") > 0)
+    return pick_elements(candidates, ALL_PICKS, partitions=partitions).where(F.size("picks") > 0)
 
 
-def picked_pages(pages: DataFrame) -> DataFrame:
+def picked_pages(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """``pick_pages`` as a written table: one scan of the texts.
 
     Article, author, profile and beat lookups all join this small table. A
     stream keeps it up to date as pages land (``streaming.cycle.pick_stream``).
     """
-    return stage(pick_pages(pages), "picked")
+    return stage(pick_pages(pages, partitions), "picked")
 
 
 def crawl(

@@ -24,7 +24,7 @@ from newsgraph.operators.lookups import (
 from newsgraph.operators.numbering import dense_numbers
 from newsgraph.sinks.changelog import drop_old_logs, write_log
 from newsgraph.sinks.store import Load, StarStore
-from newsgraph.staging import scope, stage_counted
+from newsgraph.staging import scope, stage, stage_counted
 
 JOURNALIST_COLUMNS = [
     "name", "designation", "state", "country", "email", "media_link", "linkedin_url",
@@ -66,17 +66,16 @@ def upsert_journalists(load: Load, records: DataFrame) -> tuple[DataFrame, DataF
     batch and the inserted rows."""
     contacts = first_per_key(records, ["email_key"], ORDER)
     stored = _keyed(load.stored("journalist"))
-    flagged, new = stage_counted(
+    flagged = stage(
         with_existence(
             contacts.select("email_key", *JOURNALIST_COLUMNS), stored, ["email_key"], "journalist_id"
         ),
         "contacts",
-        ~F.col("is_exist"),
     )
     existing, unseen = split_on(flagged, F.col("is_exist"))
     numbered = dense_numbers(
         unseen.drop("journalist_id", "is_exist"), ["email_key"], "journalist_id",
-        load.highest("journalist"), new,
+        load.highest("journalist"),
     )
     load.add("journalist", numbered, ["journalist_id", *JOURNALIST_COLUMNS])
     inserted = _keyed(load.added("journalist"))
@@ -94,11 +93,12 @@ def load_articles(load: Load, records: DataFrame, journalist_ids: DataFrame) ->
         ARTICLE_KEY,
         ORDER,
     )
-    attached, rows = stage_counted(attached, "articles")
-    fresh = not_stored(attached, load.stored("article"), ARTICLE_KEY)
-    numbered = dense_numbers(fresh, ARTICLE_KEY, "article_id", load.highest("article"), rows)
+    attached = stage(attached, "articles")
+    fresh = stage(not_stored(attached, load.stored("article"), ARTICLE_KEY), "new-articles")
+    numbered = dense_numbers(fresh, ARTICLE_KEY, "article_id", load.highest("article"))
     load.add("article", numbered, ["article_id", *ARTICLE_COLUMNS])
-    return numbered
+    # the written rows, so that the bridge does not number them again
+    return load.added("article").join(fresh.select(*ARTICLE_KEY, "sub_beat_topic", *ORDER), ARTICLE_KEY)
 
 
 def upsert_topics(load: Load, records: DataFrame) -> DataFrame:
@@ -109,15 +109,13 @@ def upsert_topics(load: Load, records: DataFrame) -> DataFrame:
     topics = one_row_per_topic(
         with_text(records, "sub_beat_topic").select("sub_beat_topic", "beat_id")
     )
-    flagged, new = stage_counted(
-        with_existence(topics, load.stored("sub_beat"), ["sub_beat_topic"], "sub_beat_id"),
-        "topics",
-        ~F.col("is_exist"),
+    flagged = stage(
+        with_existence(topics, load.stored("sub_beat"), ["sub_beat_topic"], "sub_beat_id"), "topics"
     )
     existing, unseen = split_on(flagged, F.col("is_exist"))
     numbered = dense_numbers(
         unseen.select("sub_beat_topic", "beat_id"), ["sub_beat_topic"], "sub_beat_id",
-        load.highest("sub_beat"), new,
+        load.highest("sub_beat"),
     )
     load.add("sub_beat", numbered)
     columns = ["sub_beat_topic", "sub_beat_id"]
@@ -194,12 +192,13 @@ def load_records(
             if load.rows["article"]:
                 found = upsert_topics(load, batch if listed is None else listed)
                 load_bridge(load, articles, found, listed)
-            if log_root and load.rows["journalist"]:
-                write_log(inserted, log_root, started.date(), load.version)
-        if log_root:
-            drop_old_logs(spark, log_root, started.date())
         _log_run(load, source, source_batch, started, now, count)
         load.commit(source, source_batch)
+        # only people who are stored are logged
+        if log_root and load.rows.get("journalist"):
+            write_log(inserted, log_root, started.date(), load.version)
+        if log_root:
+            drop_old_logs(spark, log_root, started.date())
     return LoadResult(load.version, count, dict(load.rows))
 
 

@@ -21,6 +21,12 @@ def query_scan(spark: SparkSession, query: str, jdbc: dict[str, str] | None = No
 
 
 def landed_pages(df: DataFrame, link: str, pages: DataFrame, how: str = "left") -> DataFrame:
-    """Join addresses to landed pages; every address is looked up once."""
+    """Join addresses to landed pages; every address is looked up once.
+
+    The pages are cut down to the wanted addresses first: a left join keeps its
+    left side whole, so it could not broadcast a handful of addresses and would
+    shuffle every page text.
+    """
     wanted = df.select(df[link].alias("url")).where("url is not null").distinct()
-    return wanted.join(pages, "url", how)
+    found = pages.join(wanted, "url", "left_semi")
+    return wanted.join(found, "url", how)

@@ -1,5 +1,7 @@
 """Golden pages: picks, bylines, contacts, profiles, story topics."""
 
+import time
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -41,6 +43,26 @@ def test_scan_odd_markup():
     assert [r[-1] for r in scan("a < b <a>c > d</a>", picks)] == ["c > d"]
 
 
+def test_scan_quote_inside_a_bare_value():
+    html = "<p title=don't>x</p><a rel=author href=http://x>Jane</a> it's"
+    assert [(r[4], r[-1]) for r in scan(html, [Pick("a", "a", "rel", "author")])] == [("http://x", "Jane")]
+    assert [r[4] for r in scan("<a x=y href = 'a>b' \"><a href=\"\">", [Pick("a", "a")])] == ["a>b", ""]
+
+
+def test_scan_cut_off_page():
+    picks = [Pick("a", "a")]
+    assert [r[-1] for r in scan("<a>one</a><a href='x", picks)] == ["one"]
+    assert [r[-1] for r in scan("<a>one<!-- <a>two", picks)] == ["one"]
+    assert [r[-1] for r in scan("<a>one<b title=\"", picks)] == ["one"]
+
+
+@pytest.mark.parametrize("part", ["<a b ", "<a b='", "<a b=\"'", "<!x ", "<a =", "</a ", "<!--", "<i>", "<script>"])
+def test_scan_is_linear(part):
+    started = time.perf_counter()
+    scan(part * (400_000 // len(part)), [Pick("a", "a"), Pick("b", "b", inside="a")])
+    assert time.perf_counter() - started < 5  # quadratic time takes minutes
+
+
 def test_pre_filter_drops_no_match(spark, site_pages):
     odd = [("1", "<SPAN CLASS = name>"), ("2", "<div class='x name'>"), ("3", "<a REL=\n'author'>"), ("4", "author")]
     pages = site_pages.unionByName(spark.createDataFrame(odd, "url string, html string"))

@@ -6,7 +6,6 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from newsgraph.operators import numbering
 from newsgraph.plans.load import load_records
 from newsgraph.schemas import JOURNALIST
 from newsgraph.sinks.changelog import read_log
@@ -53,10 +52,7 @@ def facts(store):
         "email", "article_title", "sub_beat_topic", "beat_id")
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_two_loads(spark, store, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(numbering, "ONE_TASK_ROWS", -1)  # number every batch by ranges
+def test_two_loads(spark, store):
     done = load_records(store, records(spark, FIRST), now=NOW)
     assert (done.records, done.rows["journalist"], done.rows["article"]) == (2, 2, 2)
     assert rows(store.read("journalist"), "journalist_id", "email", "name") == [

@@ -5,6 +5,7 @@ import pytest
 from newsgraph.catalog import QUERIES
 from newsgraph.operators.dedupe import first_per_key
 from newsgraph.operators.elements import Pick, pick_elements
+from newsgraph.sources.tables import landed_pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +46,14 @@ def test_pages_are_not_shuffled_when_there_are_enough_partitions(spark):
     assert "Exchange" not in plan(pick_elements(pages, [Pick("a", "a")]))
 
 
+def test_page_lookup_cuts_the_pages_before_the_left_join(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("url", "html")
+    found = plan(landed_pages(pages.select("url").limit(3), "url", pages))
+    # the page texts lie below a semi join with the broadcast addresses
+    assert "LeftSemi, BuildRight" in found
+    assert found.index("LeftSemi") < found.index("FileScan parquet [url", found.index("LeftSemi"))
+
+
 def test_gate_shuffles_no_documents(spark):
     df = QUERIES["ent_1_entity_gate"](spark, SF)
     exchanges = [line for line in plan(df).splitlines() if " Exchange " in line]

@@ -75,3 +75,19 @@ def test_trim_is_idempotent(spark):
     df = spark.createDataFrame([("\t x \n",), ("  ",), (None,)], "t string")
     once = text.trim_ws(F.col("t"))
     assert df.where(~once.eqNullSafe(text.trim_ws(once))).count() == 0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_feed_dates_in_any_session_zone(spark, zone):
+    cases = [("Mon, 05 Dec 2016 10:00:00 GMT", 10), ("Mon, 5 Dec 2016 10:00:00 +0200", 8), ("5 Dec 2016 10:00 EST", 15),
+             ("monday, 05 december 2016 10:00:00 Z", 10), ("05 Dec 16 10:00:00", 10), ("05 Dec 2016", None),
+             ("Mon, 55 Dec 2016 10:00:00 GMT", None), ("", None), (None, None)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, s string")
+        got = {r.i: r.t for r in df.select("i", F.unix_timestamp(dates.feed_timestamp(F.col("s"))).alias("t")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    day = 17140 * 86_400  # 2016-12-05
+    assert got == {i: None if h is None else day + h * 3600 for i, (_, h) in enumerate(cases)}
