@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsgraph.llm import oracles
 from newsgraph.llm.common import read_table
 from newsgraph.staging import new_path
 
@@ -85,6 +86,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, threshold=90)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsgraph.llm.divergence import source_divergence
+
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsgraph.llm.spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"), slip=199)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsgraph.llm.personal_data import personal_data, span_digest
+
+    return span_digest(personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +112,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_url_aliases, op3_quality_outliers, op4_curve_packing, op5_token_files, op6_warc_index,
-    op7_nn_descent, op8_histogram_sharding, op9_weighted_mix, op10_jaccard_join, pipeline)}
+    op7_nn_descent, op8_histogram_sharding, op9_weighted_mix, op10_jaccard_join,
+    op11_source_divergence, op12_spelling_variants, op13_personal_data, pipeline)}
 
 #: SQL of the queries that SQL expresses.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_source_divergence": oracles.SOURCE_DIVERGENCE,
+    "op12_spelling_variants": oracles.SPELLING_VARIANTS,
+    "op13_personal_data": oracles.PERSONAL_DATA,
+}
