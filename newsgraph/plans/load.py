@@ -32,6 +32,7 @@ JOURNALIST_COLUMNS = [
 ]
 ARTICLE_COLUMNS = ["publication_date", "article_title", "article_link", "journalist_id"]
 ORDER = ["feed", "pos"]
+DEFAULT_TOPIC = "Other"
 ARTICLE_KEY = ["article_title", "journalist_id"]
 
 
@@ -65,7 +66,7 @@ def upsert_journalists(load: Load, records: DataFrame) -> tuple[DataFrame, DataF
     """Insert unseen contacts; returns (email_key, journalist_id) of the whole
     batch and the inserted rows."""
     contacts = first_per_key(records, ["email_key"], ORDER)
-    stored = _keyed(load.stored("journalist"))
+    stored = _keyed(load.matching("journalist", records, ["email_key"]))
     flagged = stage(
         with_existence(
             contacts.select("email_key", *JOURNALIST_COLUMNS), stored, ["email_key"], "journalist_id"
@@ -94,7 +95,8 @@ def load_articles(load: Load, records: DataFrame, journalist_ids: DataFrame) ->
         ORDER,
     )
     attached = stage(attached, "articles")
-    fresh = stage(not_stored(attached, load.stored("article"), ARTICLE_KEY), "new-articles")
+    stored = load.matching("article", attached, ARTICLE_KEY)
+    fresh = stage(not_stored(attached, stored, ARTICLE_KEY), "new-articles")
     numbered = dense_numbers(fresh, ARTICLE_KEY, "article_id", load.highest("article"))
     load.add("article", numbered, ["article_id", *ARTICLE_COLUMNS])
     # the written rows, so that the bridge does not number them again
@@ -109,9 +111,9 @@ def upsert_topics(load: Load, records: DataFrame) -> DataFrame:
     topics = one_row_per_topic(
         with_text(records, "sub_beat_topic").select("sub_beat_topic", "beat_id")
     )
-    flagged = stage(
-        with_existence(topics, load.stored("sub_beat"), ["sub_beat_topic"], "sub_beat_id"), "topics"
-    )
+    topics = stage(topics, "topics")
+    stored = load.matching("sub_beat", topics, ["sub_beat_topic"])
+    flagged = stage(with_existence(topics, stored, ["sub_beat_topic"], "sub_beat_id"), "topics")
     existing, unseen = split_on(flagged, F.col("is_exist"))
     numbered = dense_numbers(
         unseen.select("sub_beat_topic", "beat_id"), ["sub_beat_topic"], "sub_beat_id",
@@ -130,7 +132,9 @@ def load_bridge(
     Article ids of a load are dense already, so with one row per article the
     bridge ids follow from them without another sort.
     """
-    default_id = default_member_id(load.stored("sub_beat"))  # topics of this load included
+    default_topic = load.store.spark.range(1).select(F.lit(DEFAULT_TOPIC).alias("sub_beat_topic"))
+    # topics of this load included
+    default_id = default_member_id(load.matching("sub_beat", default_topic, ["sub_beat_topic"]), DEFAULT_TOPIC)
     if records is not None:
         listed = records.select(*ORDER, "sub_beat_topic").distinct()
         pairs = articles.select("article_id", *ORDER).join(listed, ORDER).drop(*ORDER)
@@ -177,13 +181,14 @@ def load_records(
     spark = store.spark
     started = now or dt.datetime.now(dt.timezone.utc)
     with scope(spark):
-        heads, listed = prepare(records), None
+        heads, listed, all_topics = prepare(records), None, 0
         if topics == "all":
-            listed, _ = stage_counted(heads, "topics")
+            listed, all_topics = stage_counted(heads, "topics")
             heads = first_per_key(listed, ORDER, ["sub_beat_topic"])
         if one_per_contact:
             heads = first_per_key(heads, ["email_key"], ORDER)
         batch, count = stage_counted(heads, "batch")
+        load.at_most = max(count, all_topics, 1)
         if listed is not None:
             listed = listed.join(batch.select(*ORDER), ORDER, "left_semi")
         if count:

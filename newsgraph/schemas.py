@@ -94,4 +94,11 @@ ID_COLUMN = {
     "run_log": "run_no",
 }
 
+#: key by which a stored table is looked up, as expressions over its columns
+KEY_COLUMNS = {
+    "journalist": ("lower(trim(email))",),
+    "article": ("article_title", "journalist_id"),
+    "sub_beat": ("sub_beat_topic",),
+}
+
 GAZETTEER = _struct(entity=StringType(), type=StringType())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from newsgraph.sinks.key_layout import LOOKUP_KEYS
+
 
 def build(app: str = "newsgraph", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs assume.
@@ -17,6 +19,8 @@ def build(app: str = "newsgraph", master: str | None = None, **conf: str) -> Spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # the key hashes of a batch reach the row groups and bloom filters of the stored tables
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", str(LOOKUP_KEYS))
     )
     if master:
         builder = builder.master(master)

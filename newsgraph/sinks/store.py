@@ -4,7 +4,8 @@ A load writes only its new rows, each table into its own new folder, and then
 switches one small manifest file that names the folders of all tables. Readers
 see either the whole load or nothing of it; a load that is run again writes
 the same folders again. Nothing stored is rewritten by a load, so its cost
-follows the batch and not the tables.
+follows the batch and not the tables. Tables with a key are laid out by its hash
+(``key_layout``): ``matching`` opens only the files that can hold a key of a batch.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from newsgraph.schemas import ID_COLUMN, STAR_TABLES
+from newsgraph.schemas import ID_COLUMN, KEY_COLUMNS, STAR_TABLES
+from newsgraph.sinks import key_layout
 from newsgraph.staging import hadoop_fs
 
 _EMPTY = {"version": 0, "segments": {}, "highest": {}, "sources": {}}
@@ -38,9 +40,12 @@ def mapped(df: DataFrame, schema: StructType, mapping: Sequence[str] | None = No
 class StarStore:
     """Stored tables below ``root`` (any Hadoop file system); one writer at a time."""
 
-    def __init__(self, spark: SparkSession, root: str, tables: dict[str, StructType] | None = None):
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, StructType] | None = None,
+                 keys: dict[str, Sequence[str]] | None = None, range_rows: int = key_layout.RANGE_ROWS):
         self.spark, self.root = spark, root.rstrip("/")
         self.tables = dict(STAR_TABLES if tables is None else tables)
+        self.keys = {t: k for t, k in (KEY_COLUMNS if keys is None else keys).items() if t in self.tables}
+        self.range_rows = range_rows
 
     # -- pointer ---------------------------------------------------------
     def _commit_path(self, version: int) -> str:
@@ -81,13 +86,41 @@ class StarStore:
 
     # -- reading ---------------------------------------------------------
     def read(self, table: str, manifest: dict | None = None) -> DataFrame:
+        segments = (manifest or self.manifest())["segments"].get(table, [])
+        return self._folders(table, [s["path"] for s in segments])
+
+    def _folders(self, table: str, paths: Sequence[str], hashes: Sequence[int] | None = None) -> DataFrame:
+        """Rows in these folders, with one of the hashes if any are given."""
         schema = self.tables[table]
+        if not paths:
+            return self.spark.range(1).where("false").select(
+                *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema)
+            )
+        reader = self.spark.read.option("recursiveFileLookup", "true")
+        full = [f"{self.root}/{p}" for p in paths]
+        if hashes is None:
+            return reader.schema(schema).parquet(*full)
+        found = reader.schema(key_layout.hashed_schema(schema)).parquet(*full)
+        return found.where(F.col(key_layout.HASH).isin(list(hashes))).select(*schema.names)
+
+    def matching(self, table: str, batch: DataFrame, keys: Sequence[Column | str],
+                 manifest: dict | None = None) -> DataFrame:
+        """Stored rows of a superset of the keys of ``batch``, from the files that
+        can hold them; the whole table for a batch of very many keys.
+
+        ``keys`` of the batch are in the form and order of the table's key. Rows
+        of other keys may come back, so lookups still compare keys.
+        """
         segments = (manifest or self.manifest())["segments"].get(table, [])
-        if segments:
-            return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p, _ in segments))
-        return self.spark.range(1).where("false").select(
-            *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema)
-        )
+        if not segments:
+            return self._folders(table, [])
+        hashes = key_layout.batch_hashes(batch, keys)
+        if hashes is None:
+            return self.read(table, manifest)
+        plain = [s["path"] for s in segments if "ranges" not in s]
+        ranged = [f for s in segments if "ranges" in s for f in key_layout.matching_folders(s, hashes)]
+        found = self._folders(table, ranged, hashes)
+        return found.unionByName(self._folders(table, plain)) if plain else found
 
     # -- writing ---------------------------------------------------------
     def begin(self) -> "Load":
@@ -97,20 +130,18 @@ class StarStore:
         """Merge all segments below ``small_rows`` into one; returns how many."""
         manifest = self.manifest()
         segments = manifest["segments"].get(table, [])
-        small = [s for s in segments if s[1] < small_rows]
+        small = [s for s in segments if s["rows"] < small_rows]
         if len(small) < 2:
             return 0
         load = Load(self, manifest)
-        merged = self.spark.read.schema(self.tables[table]).parquet(
-            *(f"{self.root}/{p}" for p, _ in small)
-        )
-        files = max(1, sum(rows for _, rows in small) // small_rows)
+        rows = sum(s["rows"] for s in small)
+        load.at_most = rows
+        merged = self._folders(table, [s["path"] for s in small])
         manifest["segments"][table] = [s for s in segments if s not in small]
-        load.add(table, merged.repartition(files))
+        load.add(table, merged if table in self.keys else merged.repartition(max(1, rows // small_rows)))
         load.commit()
         return len(small)
 
-
     def tidy(self, segments: int = 100, keep: int = 10) -> None:
         """Bound the number of folders: compact tables with more than
         ``segments`` segments and drop what the last ``keep`` versions do not name."""
@@ -123,15 +154,15 @@ class StarStore:
         """Drop older manifests and the folders that only they name."""
         names = self._commit_names()
         used = {
-            path
+            segment["path"]
             for name in names[-keep:]
             for segments in self._load(name)["segments"].values()
-            for path, _ in segments
+            for segment in segments
         }
         dropped = []
         for name in names[:-keep]:
             for segments in self._load(name)["segments"].values():
-                dropped += [path for path, _ in segments if path not in used]
+                dropped += [s["path"] for s in segments if s["path"] not in used]
             fs, path = hadoop_fs(self.spark, f"{self.root}/_commits/{name}")
             fs.delete(path, False)
         for path in sorted(set(dropped)):
@@ -148,11 +179,17 @@ class Load:
         self.version = manifest["version"] + 1
         self.before = dict(manifest["highest"])  # highest ids when the load began
         self.rows: dict[str, int] = {}
+        self.at_most: int | None = None  # no table gets more rows than this, if it is known
+        self._adds: dict[str, int] = {}
 
     def stored(self, table: str) -> DataFrame:
         """Committed rows and those this load has written so far."""
         return self.store.read(table, self.manifest)
 
+    def matching(self, table: str, batch: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
+        """``stored`` cut down to the files that can hold the keys of a batch."""
+        return self.store.matching(table, batch, keys, self.manifest)
+
     def highest(self, table: str) -> int:
         return self.manifest["highest"].get(table, 0)
 
@@ -160,29 +197,49 @@ class Load:
         return batch is not None and self.manifest["sources"].get(source, -1) >= batch
 
     def add(self, table: str, df: DataFrame, mapping: Sequence[str] | None = None) -> int:
-        """Write the new rows of one table and return how many there were."""
+        """Write new rows of one table, each call to a folder of its own, and
+        return how many there were."""
         schema = self.store.tables[table]
         id_column = ID_COLUMN.get(table, schema[0].name)
-        path = f"{table}/seg-{self.version:012d}"
+        self._adds[table] = self._adds.get(table, 0) + 1
+        path = self._folder(table) + (f"-{self._adds[table]}" if self._adds[table] > 1 else "")
         copied = Observation()
         rows = mapped(df, schema, mapping).observe(
             copied, F.count(F.lit(1)).alias("rows"), F.max(id_column).alias("highest")
         )
-        rows.write.mode("overwrite").parquet(f"{self.store.root}/{path}")
+        segment = {"path": path}
+        target = f"{self.store.root}/{path}"
+        if table in self.store.keys:
+            most = df.count() if self.at_most is None else self.at_most
+            segment["bits"] = key_layout.range_bits(most, self.store.range_rows)
+            hashed = key_layout.key_hash(*(F.expr(k) for k in self.store.keys[table]))
+            key_layout.write_ranges(rows, hashed, target, most, segment["bits"])
+            segment["ranges"] = self._written_ranges(target)
+        else:
+            rows.write.mode("overwrite").parquet(target)
         seen = copied.get
-        self.rows[table] = seen["rows"]
+        self.rows[table] = self.rows.get(table, 0) + seen["rows"]
         if seen["rows"]:
-            self._segments(table).append([path, seen["rows"]])
+            self._segments(table).append(segment | {"rows": seen["rows"]})
             self.manifest["highest"][table] = max(self.highest(table), seen["highest"])
         return seen["rows"]
 
+    def _written_ranges(self, target: str) -> list[int]:
+        fs, folder = hadoop_fs(self.store.spark, target)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{key_layout.RANGE}="))
+
+    def _folder(self, table: str) -> str:
+        """The first folder of this load's rows of a table; further ones have a number more."""
+        return f"{table}/seg-{self.version:012d}"
+
     def _segments(self, table: str) -> list:
         return self.manifest["segments"].setdefault(table, [])
 
     def added(self, table: str) -> DataFrame:
         """The rows this load has written so far to one table."""
-        paths = [p for p, _ in self._segments(table) if p.endswith(f"seg-{self.version:012d}")]
-        return self.store.read(table, {"segments": {table: [[p, 0] for p in paths]}})
+        return self.store._folders(
+            table, [s["path"] for s in self._segments(table) if s["path"].startswith(self._folder(table))])
 
     def commit(self, source: str | None = None, batch: int | None = None) -> int:
         self.manifest["version"] = self.version
