@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newsgraph.llm.common import written
 
 #: Bytes of text whose pointers are sorted together; a longer document is a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 #: Partial sums a task holds before it hands them on, and values computed at once.
 HELD, AT_ONCE = 1 << 18, 1 << 21
 SCALE = 1_000_000_000
