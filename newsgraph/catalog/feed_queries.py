@@ -122,6 +122,26 @@ def page_lookup(spark, sf):
     )
 
 
+@query(
+    "src_5_page_versions",
+    """WITH wanted AS (
+  SELECT url FROM pages UNION SELECT replace(url, 'https://', 'http://') FROM pages),
+newest AS (SELECT url, max(page_id) AS page_id, arg_max(html, page_id) AS html FROM pages GROUP BY url)
+SELECT w.url, n.page_id, length(n.html) + 4 AS n_chars FROM wanted w LEFT JOIN newest n ON n.url = w.url""",
+)
+def page_versions(spark, sf):
+    """Every page in two versions, and addresses that landed several times: the newest counts."""
+    pages = v.table(spark, sf, "pages")
+    plain = F.replace("url", F.lit("https://"), F.lit("http://"))
+    links = pages.select(F.explode(F.array("url", plain)).alias("link"))
+    at = lambda day: F.expr(f"timestamp'2024-01-{day} 00:00:00' + make_dt_interval(0, 0, 0, page_id)")
+    first = pages.select("page_id", "url", "html", at("01").alias("landed_at"))
+    second = pages.select("page_id", "url", F.concat("html", F.lit("<br>")).alias("html"), at("31").alias("landed_at"))
+    return landed_pages(links, "link", second.unionByName(first)).select(
+        "url", "page_id", F.length("html").cast("bigint").alias("n_chars")
+    )
+
+
 @query(
     "src_6_newest_per_feed",
     """SELECT event_type AS feed, event_id, rn FROM (
@@ -178,7 +198,7 @@ def feed_union(spark, sf):
 
 FLAGSHIP_SQL = f"""WITH {v.PAGE_ITEMS}, {v.NAV_TOPICS},
 langs AS (SELECT lang AS beat_topic, CAST(row_number() OVER (ORDER BY lang) AS INTEGER) AS beat_id
-  FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'es')),
+  FROM (SELECT DISTINCT CASE WHEN lang = 'es' THEN 'other' ELSE lang END AS lang FROM documents)),
 last_nav AS (SELECT page_id, arg_max(topic, pos) AS topic FROM nav_topics GROUP BY page_id)
 SELECT coalesce(b.beat_id, 0) AS beat_id, t.topic, count(*) AS pages
 FROM page_items i LEFT JOIN langs b ON b.beat_topic = i.category
@@ -187,9 +207,9 @@ GROUP BY 1, 2"""
 
 
 def language_beats(spark, sf):
-    """Document languages without Spanish, numbered by name."""
-    langs = v.table(spark, sf, "documents").where("lang <> 'es'")
-    langs = langs.select(F.col("lang").alias("beat_topic")).distinct()
+    """Document languages, numbered by name; Spanish under another name, so that its pages find no beat."""
+    name = F.when(F.col("lang") == "es", F.lit("other")).otherwise(F.col("lang"))
+    langs = v.table(spark, sf, "documents").select(name.alias("beat_topic")).distinct()
     return v.dense_numbers(langs, ["beat_topic"], "beat_id").withColumn(
         "beat_id", F.col("beat_id").cast("int")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsgraph.catalog import views as v
 from newsgraph.catalog.feed_queries import language_beats
+from newsgraph.catalog.load_queries import new_store
 from newsgraph.catalog.registry import query
 from newsgraph.operators import lookups as lk
 from newsgraph.operators.numbering import by_order, dense_numbers, newest_ids
@@ -41,7 +42,7 @@ def item_channel(spark, sf):
     "jon_3_beat_id",
     f"""WITH {v.PAGE_ITEMS},
 langs AS (SELECT lang AS beat_topic, CAST(row_number() OVER (ORDER BY lang) AS INTEGER) AS beat_id
-  FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'es'))
+  FROM (SELECT DISTINCT CASE WHEN lang = 'es' THEN 'other' ELSE lang END AS lang FROM documents))
 SELECT item_id, ' ' || category || ' ' AS beat, coalesce(beat_id, 0) AS beat_id
 FROM page_items LEFT JOIN langs ON beat_topic = category""",
 )
@@ -61,6 +62,15 @@ def _people(spark, sf):
     )
 
 
+def _stored(spark, table, rows, batch, *keys):
+    """The rows as a stored table, and of that what the files with keys of the batch hold."""
+    store = new_store(spark)
+    load = store.begin()
+    load.add(table, rows)
+    load.commit()
+    return store.matching(table, batch, keys)
+
+
 @query(
     "jon_4_existing_journalists",
     f"""WITH {v.PEOPLE}
@@ -69,6 +79,7 @@ FROM incoming_contacts i LEFT JOIN stored_contacts s ON s.email = i.email""",
 )
 def existing_journalists(spark, sf):
     stored, incoming = _people(spark, sf)
+    stored = _stored(spark, "journalist", stored, incoming, "email")
     return lk.with_existence(incoming.select("email"), stored, ["email"], "journalist_id")
 
 
@@ -113,6 +124,7 @@ FROM topics t LEFT JOIN stored_topics s USING (sub_beat_topic)""",
 )
 def existing_topics(spark, sf):
     stored, topics = _topics(spark, sf)
+    stored = _stored(spark, "sub_beat", stored, topics, "sub_beat_topic")
     return lk.with_existence(topics, stored, ["sub_beat_topic"], "sub_beat_id")
 
 
@@ -124,6 +136,7 @@ FROM incoming_contacts i JOIN stored_contacts s ON s.email = i.email""",
 )
 def stored_rows(spark, sf):
     stored, incoming = _people(spark, sf)
+    stored = _stored(spark, "journalist", stored, incoming, "email")
     return lk.already_stored(incoming.select("email", "c_custkey"), stored, ["email"], "journalist_id")
 
 
@@ -135,6 +148,7 @@ WHERE email NOT IN (SELECT email FROM stored_contacts)""",
 )
 def new_rows(spark, sf):
     stored, incoming = _people(spark, sf)
+    stored = _stored(spark, "journalist", stored, incoming, "email")
     return lk.not_stored(incoming.select("email", "c_custkey"), stored, ["email"])
 
 
@@ -150,7 +164,9 @@ def new_articles(spark, sf):
         "o_orderkey", F.col("o_orderpriority").alias("article_title"), F.col("o_custkey").alias("journalist_id")
     )
     stored, incoming = v.orders_split(spark, sf)
-    return lk.not_stored(article(incoming), article(stored), ["article_title", "journalist_id"])
+    keys = ["article_title", "journalist_id"]
+    stored = _stored(spark, "article", article(stored).withColumnRenamed("o_orderkey", "article_id"), article(incoming), *keys)
+    return lk.not_stored(article(incoming), stored, keys)
 
 
 _ORDERED = f"""{v.PEOPLE},

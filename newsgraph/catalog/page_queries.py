@@ -13,6 +13,7 @@ from newsgraph.operators.contacts import (
     bio_links,
     byline_entries,
     contact_entries,
+    newest_picks,
     page_entries,
     profile_facts,
 )
@@ -45,6 +46,7 @@ def element_pick(spark, sf):
 def _facts(spark, sf):
     """Article facts of the site items (the pages are picked once)."""
     picked = picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism)
+    picked = newest_picks(picked)
     links = st.items(spark, sf).select("item_id", F.col("link").alias("url"))
     return article_facts(links.join(picked, "url"), "item_id"), picked
 
@@ -94,7 +96,8 @@ SELECT tw_url AS url, bio, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE own_email EN
   CASE WHEN known THEN n_name END AS place FROM site""",
 )
 def profile_card(spark, sf):
-    return profile_facts(picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism), st.names(spark, sf))
+    picked = newest_picks(picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism))
+    return profile_facts(picked, st.names(spark, sf))
 
 
 @query(
@@ -105,7 +108,8 @@ UNION ALL SELECT beat_url, k, n_name || ' news' FROM site WHERE NOT known
 UNION ALL SELECT beat_url, '9' || k, 'Wrong one' FROM site""",
 )
 def topics_of_stories(spark, sf):
-    topics = story_topics(picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism))
+    picked = newest_picks(picked_pages(st.pages(spark, sf), spark.sparkContext.defaultParallelism))
+    topics = story_topics(picked)
     return valid_topics(topics, st.names(spark, sf)).select("beat_link", "cid", "topic")
 
 
@@ -122,10 +126,14 @@ def nav_topics_kept(spark, sf):
 
 @query(
     "ent_1_entity_gate",
-    rf"""WITH {v.GAZETTEER},
+    rf"""WITH {v.LONG_NAMES},
 texts AS (SELECT doc_id AS id, text FROM documents
   UNION ALL SELECT -1 - event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') FROM events),
-words AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z0-9_''-]+')) AS w FROM texts)
+lists AS (SELECT id, regexp_extract_all(text, '[A-Za-z0-9_''-]+') AS l FROM texts),
+words AS (
+  SELECT id, unnest(l) AS w FROM lists
+  UNION ALL SELECT id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) FROM lists
+  UNION ALL SELECT id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) FROM lists)
 SELECT id, id >= 0 AND id NOT IN (SELECT id FROM words WHERE w IN (SELECT entity FROM gazetteer))
   AS is_topic FROM texts""",
 )
@@ -136,7 +144,7 @@ def entity_gate(spark, sf):
             (-1 - F.col("event_id")).alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("text")
         )
     )
-    gated = with_gate(texts, "text", v.gazetteer(spark, sf), longest=1, key="id")
+    gated = with_gate(texts, "text", v.long_names(spark, sf), longest=3, key="id")
     return gated.select("id", "is_topic")
 
 

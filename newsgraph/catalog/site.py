@@ -54,12 +54,10 @@ def site(spark, sf) -> DataFrame:
 
 
 def names(spark, sf) -> DataFrame:
-    """The gazetteer: nations of the first three regions."""
-    return (
-        table(spark, sf, "nation")
-        .where("n_regionkey < 3")
-        .select(F.col("n_name").alias("entity"), F.lit("LOCATION").alias("type"))
-    )
+    """The gazetteer: all nations, those beyond the first three regions under a
+    name that no page has."""
+    name = F.when(F.col("n_regionkey") < 3, F.col("n_name")).otherwise(F.concat(F.lit("Old "), "n_name"))
+    return table(spark, sf, "nation").select(name.alias("entity"), F.lit("LOCATION").alias("type"))
 
 
 def _html(*parts: str | Column) -> Column:
@@ -125,11 +123,25 @@ def _beat_page() -> Column:
 
 
 def pages(spark, sf) -> DataFrame:
-    """Landed pages (url, html) of the whole site."""
-    page = lambda url, html: F.struct(F.col(url).alias("url"), html.alias("html"))
-    landed = F.array(page("link", _article()), page("by_url", _bio_page()),
-                     page("tw_url", _profile_page()), page("beat_url", _beat_page()))
-    return site(spark, sf).select(F.inline(F.filter(landed, lambda p: p["html"].isNotNull())))
+    """Landed pages (url, html, landed_at) of the whole site, each in two
+    versions: the older ones show other bylines, contacts, places and topics."""
+
+    def versions(rows: DataFrame, day: int) -> DataFrame:
+        page = lambda url, html: F.struct(F.col(url).alias("url"), html.alias("html"))
+        landed = F.array(page("link", _article()), page("by_url", _bio_page()),
+                         page("tw_url", _profile_page()), page("beat_url", _beat_page()))
+        return rows.select(F.inline(F.filter(landed, lambda p: p["html"].isNotNull()))).withColumn(
+            "landed_at", F.lit(f"2016-12-0{day} 00:00:00").cast("timestamp"))
+
+    newest = site(spark, sf)
+    # addresses stay, what the pages say is that of another shape and other people
+    old = newest.withColumns({
+        "shape": F.when(F.col("shape") == 7, 7).otherwise((F.col("shape") + 3) % 7),
+        "desk_email": F.concat(F.lit("old"), "desk_email"), "own_email": F.concat(F.lit("old"), "own_email"),
+        "writer": F.concat(F.lit("Old "), "writer"), "bio": F.lit("Was away. Mail me: gone@mail.example.com"),
+        "li_url": F.concat("li_url", F.lit("/old")), "c_mktsegment": F.lit("OLD TOPIC"), "n_name": F.lit("Atlantis"),
+    })
+    return versions(newest, 5).unionByName(versions(old, 1))
 
 
 def items(spark, sf) -> DataFrame:
@@ -147,16 +159,16 @@ def items(spark, sf) -> DataFrame:
 
 
 def segment_beats(spark, sf) -> DataFrame:
-    """Market segments but one, numbered by name."""
-    segments = table(spark, sf, "customer").where("c_mktsegment <> 'MACHINERY'")
-    segments = segments.select(F.col("c_mktsegment").alias("beat_topic")).distinct()
+    """Market segments, numbered by name; one under a name that no item has."""
+    name = F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("OTHER")).otherwise(F.col("c_mktsegment"))
+    segments = table(spark, sf, "customer").select(name.alias("beat_topic")).distinct()
     return dense_numbers(segments, ["beat_topic"], "beat_id").withColumn(
         "beat_id", F.col("beat_id").cast("int"))
 
 
 SEGMENT_BEATS = """segment_beats AS (
   SELECT beat_topic, CAST(row_number() OVER (ORDER BY beat_topic) AS INTEGER) AS beat_id FROM (
-    SELECT DISTINCT c_mktsegment AS beat_topic FROM customer WHERE c_mktsegment <> 'MACHINERY'))"""
+    SELECT DISTINCT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'OTHER' ELSE c_mktsegment END AS beat_topic FROM customer))"""
 
 # what the pages say, by shape
 FOUND = f"""{SITE},

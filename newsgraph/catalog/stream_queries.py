@@ -10,6 +10,7 @@ from newsgraph.catalog.registry import query
 from newsgraph.sinks.store import StarStore
 from newsgraph.staging import new_path
 from newsgraph.streaming.cycle import run_cycles
+from newsgraph.streaming.progress import CycleLog, read_cycles, watch
 
 
 def event_records(events: DataFrame) -> DataFrame:
@@ -30,13 +31,19 @@ def event_records(events: DataFrame) -> DataFrame:
     )
 
 
-def _streamed(spark, stream: DataFrame) -> StarStore:
+#: an event of this user and kind stores nothing when there was one before
+EVENT_KEYS = ["user_id", "event_type"]
+
+
+def _streamed(spark, stream: DataFrame, keys=None, log: CycleLog | None = None) -> StarStore:
     store = new_store(spark)
     run = run_cycles(
         stream, store, new_path(spark, "checkpoint"), event_records,
-        name="events", once=True, one_per_contact=False, now=NOW,
+        name="events", once=True, keys=keys, one_per_contact=False, now=NOW,
     )
     run.awaitTermination()
+    if log:
+        log.wait_for_end(run.runId)
     return store
 
 
@@ -78,19 +85,27 @@ def micro_batch(spark, sf):
 
 @query("stm_2_stream_dedupe", _WRITTEN_SQL)
 def stream_dedupe(spark, sf):
-    """Several micro-batches give the tables that one batch gives."""
-    return _written(_streamed(spark, _in_batches(spark, sf)))
+    """Several micro-batches, with the keys seen so far in the state of the
+    stream, give the tables that one batch gives."""
+    return _written(_streamed(spark, _in_batches(spark, sf), EVENT_KEYS))
 
 
 @query(
     "stm_3_progress_log",
-    """SELECT 3 AS runs, CAST(count(*) AS BIGINT) AS records,
+    """SELECT 1 AS started, 1 AS ended, 3 AS runs, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS records,
   CAST(count(DISTINCT (user_id, event_type)) AS BIGINT) AS new_articles FROM events""",
 )
 def progress_log(spark, sf):
-    log = _streamed(spark, _in_batches(spark, sf)).read("run_log")
-    return log.agg(
-        F.count(F.lit(1)).cast("int").alias("runs"),
-        F.sum("records").alias("records"),
-        F.sum("new_articles").alias("new_articles"),
-    )
+    """Cycles by the table that the listener writes, loads by the run log."""
+    path = new_path(spark, "cycles")
+    listener = watch(spark, path)
+    try:
+        store = _streamed(spark, _in_batches(spark, sf), log=listener)
+    finally:
+        spark.streams.removeListener(listener)
+    count = lambda event: F.count_if(F.col("event") == event).cast("int")
+    # a trigger that finds nothing reports a progress without rows
+    cycles = read_cycles(spark, path).where("event <> 'progress' or rows > 0").agg(
+        count("start").alias("started"), count("end").alias("ended"), count("progress").alias("runs"), F.sum("rows").alias("rows"))
+    loads = store.read("run_log").agg(F.sum("records").alias("records"), F.sum("new_articles").alias("new_articles"))
+    return cycles.join(loads)

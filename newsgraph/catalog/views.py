@@ -87,6 +87,23 @@ GAZETTEER = r"""gazetteer AS (
   SELECT DISTINCT unnest(regexp_extract_all(text, '\b[A-Z][a-z]+')) AS entity FROM benchmark)"""
 
 
+def long_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of one to three words of the benchmark texts: long capitalised
+    words, and capitalised words with one or two words after them."""
+    found = [F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in NAME_PATTERNS]
+    return (
+        table(spark, sf, "benchmark")
+        .select(F.explode(F.concat(*found)).alias("entity"))
+        .distinct()
+        .withColumn("type", F.lit("PERSON"))
+    )
+
+
+NAME_PATTERNS = [r"\b[A-Z][a-z]{7,}", r"\b[A-Z][a-z]+ [a-z]+", r"\b[A-Z][a-z]+ [a-z]+ [a-z]+"]
+LONG_NAMES = f"""gazetteer AS (
+  SELECT DISTINCT unnest({" || ".join(f"regexp_extract_all(text, '{p}')" for p in NAME_PATTERNS)}) AS entity FROM benchmark)"""
+
+
 # -- customers as contacts ---------------------------------------------------
 def contacts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(
@@ -162,8 +179,6 @@ INCOMING_CONTACTS = """incoming_contacts AS (
 PEOPLE = ",\n".join([CONTACTS, ORDERS_SPLIT, STORED_CONTACTS, INCOMING_CONTACTS])
 
 # -- parts as topics -----------------------------------------------------------
-BEAT_NAMES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
 
 def beats(spark: SparkSession, sf: str) -> DataFrame:
     """The beat dimension: part types in the order of their names."""

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsgraph.functions.text import is_absolute_link, last_email, location_words, name_before_comma
 from newsgraph.operators.elements import Pick, all_of, first_of
 from newsgraph.operators.entity import last_entity_word, with_gate
+from newsgraph.sources.picked import PickedPages
+from newsgraph.sources.tables import LANDED
 from newsgraph.staging import stage
 
 # The elements that carry contacts.
@@ -189,24 +191,34 @@ def resolve_profiles(entries: DataFrame, profiles: DataFrame) -> DataFrame:
     return entries.where(~marked).unionByName(found)
 
 
-def pages_of(picked: DataFrame, links: DataFrame) -> DataFrame:
-    """The picked pages that any of the links lead to, each once."""
-    return picked.join(links.where(F.col("url").isNotNull()).distinct(), "url", "left_semi")
+def newest_picks(picked: DataFrame) -> DataFrame:
+    """(url, picks) of every page in its newest version; pages without versions as they are."""
+    if LANDED not in picked.columns:
+        return picked
+    newest = picked.groupBy("url").agg(F.max(F.struct(LANDED, "picks")).alias("_newest"))
+    return newest.select("url", "_newest.picks").where(F.size("picks") > 0)
+
+
+def pages_of(picked: DataFrame | PickedPages, links: DataFrame) -> DataFrame:
+    """The picked pages (url, picks) that any of the links lead to, each once, in its newest version."""
+    wanted = links.where(F.col("url").isNotNull()).distinct()
+    rows = picked.lookup(wanted) if isinstance(picked, PickedPages) else picked
+    return newest_picks(rows.join(wanted, "url", "left_semi"))
 
 
 def contact_entries(
-    items: DataFrame, picked: DataFrame, gazetteer: DataFrame, model=None
+    items: DataFrame, picked: DataFrame | PickedPages, gazetteer: DataFrame, model=None
 ) -> DataFrame:
     """All profile entries of the items ``(item_id, link)``.
 
     Three equi-joins on page addresses: article, author page, profile page. An
     item whose article page was not landed gives no entries. Only pages that
     the items lead to are looked at, so a small batch costs a scan of the
-    picked table and no more. Facts and entries feed several branches and are
+    picked table, or of a few of its files if that is stored by address. Facts and entries feed several branches and are
     written once.
     """
     links = items.select("item_id", F.col("link").alias("url"))
-    facts = stage(article_facts(links.join(picked, "url"), "item_id"), "facts")
+    facts = stage(article_facts(links.join(pages_of(picked, links.select("url")), "url"), "item_id"), "facts")
     authors = pages_of(picked, facts.select(F.col("author_url").alias("url")))
     rows = stage(
         page_entries(facts).unionByName(bio_entries(facts, bio_links(authors))), "entries"

@@ -185,18 +185,19 @@ def may_match(picks: Sequence[Pick], html: str = "html") -> Column:
 
 
 def pick_elements(
-    pages: DataFrame, picks: Sequence[Pick], key: str = "url", partitions: int | None = None
+    pages: DataFrame, picks: Sequence[Pick], key: str = "url", partitions: int | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(key, picks): for every page the array of its picked elements.
+    """(key, the columns to keep, picks): for every page the array of its picked elements.
 
     Pages stay in the partitions they come in, unless a caller that knows they
     are few asks for a number of ``partitions``.
     """
     wanted = tuple(picks)
-    source = pages.select(key, "html")
+    source = pages.select(key, "html", *keep)
     if partitions:
         source = source.repartition(partitions)
-    key_field = source.schema[key]
+    names = [key, *keep]
+    fields = [source.schema[name] for name in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,10 +206,10 @@ def pick_elements(
                 for html in batch.column(1).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, _ARROW_PICKED)], names=[key, "picks"]
+                [*(batch.column(name) for name in names), pa.array(found, _ARROW_PICKED)], names=[*names, "picks"]
             )
 
-    return source.mapInArrow(run, StructType([key_field, StructField("picks", PICKED)]))
+    return source.mapInArrow(run, StructType([*fields, StructField("picks", PICKED)]))
 
 
 def all_of(name: str, scope: Column | None = None, picks: str | Column = "picks") -> Column:

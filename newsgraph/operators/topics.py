@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsgraph.functions.text import clean_html, is_numeric, trim_ws
-from newsgraph.operators.elements import Pick, all_of, first_of
+from newsgraph.operators.elements import Pick
 from newsgraph.operators.entity import with_gate
 
 # The elements of a story block; the trailing blank is part of the class.
@@ -20,25 +20,17 @@ def story_topics(picked: DataFrame) -> DataFrame:
     """(beat_link, cid, pos, topic): cleaned topic texts of every story block.
 
     Topics are read from the block of their own story. Of several blocks with
-    one cluster id on a page the first counts.
+    one cluster id on a page the first counts, of several topic lists in a block
+    too. Blocks, lists and topics meet by equi-joins on page and position, so the
+    work is in proportion to the elements of a page and not to their square.
     """
-
-
-    def is_first(story: Column) -> Column:
-        same = lambda s: (s["cid"] == story["cid"]) & (s["pos"] < story["pos"])
-        return story["cid"].isNotNull() & ~F.exists(all_of("story"), same)
-
-    def block(story: Column) -> Column:
-        wrapper = first_of("topics", story["pos"])["pos"]
-        return F.struct(story["cid"].alias("cid"), all_of("topic", wrapper).alias("topics"))
-
-    blocks = F.transform(F.filter(all_of("story"), is_first), block)
-    return (
-        picked.select(F.col("url").alias("beat_link"), F.inline(blocks))
-        .select("beat_link", "cid", F.explode("topics").alias("e"))
-        .select("beat_link", "cid", F.col("e.pos").alias("pos"),
-                clean_html(F.col("e.text")).alias("topic"))
-    )
+    elements = picked.select(F.col("url").alias("beat_link"), F.inline("picks"))
+    of = lambda name: elements.where(F.col("pick") == name)
+    stories = of("story").where(F.col("cid").isNotNull()).groupBy("beat_link", "cid").agg(F.min("pos").alias("story"))
+    lists = of("topics").groupBy("beat_link", F.col("scope").alias("story")).agg(F.min("pos").alias("list"))
+    topics = of("topic").select("beat_link", F.col("scope").alias("list"), "pos", "text")
+    return stories.join(lists, ["beat_link", "story"]).join(topics, ["beat_link", "list"]).select(
+        "beat_link", "cid", "pos", clean_html(F.col("text")).alias("topic"))
 
 
 def valid_topics(topics: DataFrame, gazetteer: DataFrame | None, model=None) -> DataFrame:

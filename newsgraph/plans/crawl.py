@@ -11,6 +11,8 @@ from newsgraph.operators.lookups import beat_ids
 from newsgraph.operators.profile import contact_rows
 from newsgraph.operators.topics import BEAT_PICKS, attach_topics, story_topics, valid_topics
 from newsgraph.sources.feeds import crawl_records
+from newsgraph.sources.picked import PickedPages
+from newsgraph.sources.tables import LANDED
 from newsgraph.staging import stage
 
 ALL_PICKS = [*ARTICLE_PICKS, *BIO_PICKS, *PROFILE_PICKS, *BEAT_PICKS]
@@ -20,10 +22,16 @@ def pick_pages(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """Picked elements of landed pages, for a batch or for a stream of pages.
 
     Pages that show none of the wanted elements never reach Python.
-    ``partitions`` deals them anew, for a table in few large files.
+    ``partitions`` deals them anew, for a table in few large files. Where pages
+    have ``landed_at``, every version is kept, also one without elements: it
+    hides the older ones.
     """
-    candidates = pages.where(may_match(ALL_PICKS))
-    return pick_elements(candidates, ALL_PICKS, partitions=partitions).where(F.size("picks") > 0)
+    candidate = may_match(ALL_PICKS)
+    if LANDED not in pages.columns:
+        return pick_elements(pages.where(candidate), ALL_PICKS, partitions=partitions).where(F.size("picks") > 0)
+    # the texts of pages without elements stay in the JVM
+    return pick_elements(pages.withColumn("html", F.when(candidate, F.col("html"))), ALL_PICKS,
+                         partitions=partitions, keep=[LANDED])
 
 
 def picked_pages(pages: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -37,7 +45,7 @@ def picked_pages(pages: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def crawl(
     items: DataFrame,
-    picked: DataFrame,
+    picked: DataFrame | PickedPages,
     beats: DataFrame,
     gazetteer: DataFrame,
     *,

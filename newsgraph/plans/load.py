@@ -162,6 +162,7 @@ def load_records(
     *,
     one_per_contact: bool = True,
     topics: str = "last",
+    rejects: DataFrame | None = None,
     source: str = "batch",
     source_batch: int | None = None,
     log_root: str | None = None,
@@ -174,6 +175,9 @@ def load_records(
 
     ``topics="all"`` takes records with one row per topic of an item (equal
     ``feed`` and ``pos``) and writes one bridge row per topic.
+
+    ``rejects`` (feed, reason, landed) are stored with the number of the run and
+    counted in its log row.
     """
     load = store.begin()
     if load.done_before(source, source_batch):
@@ -197,6 +201,8 @@ def load_records(
             if load.rows["article"]:
                 found = upsert_topics(load, batch if listed is None else listed)
                 load_bridge(load, articles, found, listed)
+        if rejects is not None:
+            load.add("feed_reject", rejects.withColumn("run_no", F.lit(load.version).cast("bigint")))
         _log_run(load, source, source_batch, started, now, count)
         load.commit(source, source_batch)
         # only people who are stored are logged
@@ -215,7 +221,7 @@ def _log_run(load: Load, source, source_batch, started, now, count: int) -> None
     )
     tables = ("journalist", "article", "sub_beat", "article_subbeat")
     values = [load.version, source, source_batch, started, ended, count,
-              *(load.rows.get(t, 0) for t in tables), message]
+              *(load.rows.get(t, 0) for t in tables), message, load.rows.get("feed_reject", 0)]
     names = load.store.tables["run_log"].fieldNames()
     row = load.store.spark.range(1).select(*(F.lit(x).alias(n) for n, x in zip(names, values)))
     load.add("run_log", row)

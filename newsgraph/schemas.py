@@ -29,7 +29,8 @@ FEED_ITEM = _struct(
 
 FEED_CHANNEL = _struct(title=StringType(), link=StringType(), item=ArrayType(FEED_ITEM))
 
-PAGES = _struct(url=StringType(), html=StringType())
+#: ``landed_at`` tells the versions of a page apart; without it a page lands once
+PAGES = _struct(url=StringType(), html=StringType(), landed_at=TimestampType())
 
 BEAT = _struct(beat_id=IntegerType(), beat_topic=StringType())
 
@@ -75,14 +76,18 @@ RUN_LOG = _struct(
     new_sub_beats=LongType(),
     new_bridges=LongType(),
     message=StringType(),
+    rejects=LongType(),
 )
 
+FEED_REJECT = _struct(run_no=LongType(), feed=StringType(), reason=StringType(), landed=StringType())
+
 STAR_TABLES: dict[str, StructType] = {
     "journalist": JOURNALIST,
     "article": ARTICLE,
     "sub_beat": SUB_BEAT,
     "article_subbeat": ARTICLE_SUBBEAT,
     "run_log": RUN_LOG,
+    "feed_reject": FEED_REJECT,
 }
 
 #: surrogate id of each stored table
@@ -92,6 +97,7 @@ ID_COLUMN = {
     "sub_beat": "sub_beat_id",
     "article_subbeat": "article_subbeats_id",
     "run_log": "run_no",
+    "feed_reject": "run_no",
 }
 
 #: key by which a stored table is looked up, as expressions over its columns

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from newsgraph.sinks.key_layout import LOOKUP_KEYS
+from newsgraph.sinks.key_layout import PUSHED_KEYS
 
 
 def build(app: str = "newsgraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,8 +20,12 @@ def build(app: str = "newsgraph", master: str | None = None, **conf: str) -> Spa
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         # the key hashes of a batch reach the row groups and bloom filters of the stored tables
-        .config("spark.sql.parquet.pushdown.inFilterThreshold", str(LOOKUP_KEYS))
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", str(PUSHED_KEYS))
     )
+    builder = builder.config(
+        # keyed state of the stream on local disk instead of the heap of the executors
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

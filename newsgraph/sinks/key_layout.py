@@ -20,6 +20,8 @@ HASH, RANGE = "key_hash", "key_range"
 RANGE_ROWS, MOST_BITS = 1_000_000, 12
 #: A batch with more distinct keys reads the whole table: it would open most files anyway.
 LOOKUP_KEYS = 10_000
+#: Hashes that are pushed down one by one; of more only the smallest and the largest are.
+PUSHED_KEYS = 500
 
 
 def key_hash(*keys: Column | str) -> Column:

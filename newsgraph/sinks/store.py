@@ -200,12 +200,12 @@ class Load:
         """Write new rows of one table, each call to a folder of its own, and
         return how many there were."""
         schema = self.store.tables[table]
-        id_column = ID_COLUMN.get(table, schema[0].name)
+        id_column = ID_COLUMN.get(table)
         self._adds[table] = self._adds.get(table, 0) + 1
         path = self._folder(table) + (f"-{self._adds[table]}" if self._adds[table] > 1 else "")
         copied = Observation()
         rows = mapped(df, schema, mapping).observe(
-            copied, F.count(F.lit(1)).alias("rows"), F.max(id_column).alias("highest")
+            copied, F.count(F.lit(1)).alias("rows"), F.max(id_column or F.lit(0)).alias("highest")
         )
         segment = {"path": path}
         target = f"{self.store.root}/{path}"
@@ -221,7 +221,8 @@ class Load:
         self.rows[table] = self.rows.get(table, 0) + seen["rows"]
         if seen["rows"]:
             self._segments(table).append(segment | {"rows": seen["rows"]})
-            self.manifest["highest"][table] = max(self.highest(table), seen["highest"])
+            if id_column:
+                self.manifest["highest"][table] = max(self.highest(table), seen["highest"])
         return seen["rows"]
 
     def _written_ranges(self, target: str) -> list[int]:

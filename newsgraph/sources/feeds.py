@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from newsgraph.functions.dates import feed_timestamp
 from newsgraph.functions.text import clean_html, cluster_id, publisher_of
@@ -24,6 +25,8 @@ TOPIC_SUFFIX = {
     "World": "topic=w",
     "Local": "geo=detect_metro_area",
 }
+#: what makes a feed item the same one when its feed lands again
+ITEM_KEYS = ["beat_link", "title", "link", "category", "pub_date", "guid_text"]
 FEED_ITEMS = 50
 FEED_DAYS = 2
 
@@ -40,29 +43,60 @@ def feed_addresses(beats: DataFrame, base_url: str) -> DataFrame:
     )
 
 
-def read_feeds(spark: SparkSession, *paths: str) -> DataFrame:
-    """One row per landed channel; files that are not XML are left out."""
-    return (
-        spark.read.format("xml")
-        .option("rowTag", "channel")
-        .option("mode", "DROPMALFORMED")
-        .schema(FEED_CHANNEL)
-        .load(list(paths))
-        .select("*", F.col("_metadata.file_path").alias("feed"))
-    )
+CHANNEL_END = "</channel>"
+_CORRUPT = "_corrupt_record"
+
+
+def _landed(reader) -> object:
+    """A text reader that gives one record per channel of a file, of any size."""
+    return reader.format("text").option("lineSep", CHANNEL_END)
 
 
-def stream_feeds(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def _parsed(records: DataFrame, keep_rejects: bool) -> DataFrame:
+    """Channel rows of landed records; with ``keep_rejects`` also those that are
+    none, with ``reject_reason`` and ``reject_text``.
+
+    A record is the text up to the end of a channel. What follows the last
+    channel of a file - closing tags, blanks, comments - is no record.
+    """
+    text = F.col("value")
+    channel = F.regexp_extract(text, r"(?s)<channel(?=[\s>]).*", 0)
+    schema = StructType([*FEED_CHANNEL, StructField(_CORRUPT, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    tail = text.rlike(r"^(?s)\s*(?:(?:</[\w:.-]+\s*>|<!--(?:(?!-->).)*-->)\s*)*$")
+    rows = records.select(
+        F.col("_metadata.file_path").alias("feed"), text.alias("landed"), channel.alias("channel"), tail.alias("tail"),
+    ).where((F.col("channel") != "") | ~F.col("tail")).withColumn(
+        "c", F.when(F.col("channel") != "", F.from_xml(F.concat("channel", F.lit(CHANNEL_END)), schema.simpleString(), options)))
+    reason = F.when(F.col("channel") == "", F.lit("no channel")).when(
+        F.col("c").isNull() | F.col(f"c.{_CORRUPT}").isNotNull(), F.lit("malformed channel"))
+    rows = rows.withColumn("reject_reason", reason)
+    columns = [F.when(F.col("reject_reason").isNull(), F.col(f"c.{f.name}")).alias(f.name) for f in FEED_CHANNEL]
+    if keep_rejects:
+        landed = F.when(F.col("reject_reason").isNotNull(), F.col("landed")).alias("reject_text")
+        return rows.select(*columns, "feed", "reject_reason", landed)
+    return rows.where("reject_reason is null").select(*columns, "feed")
+
+
+def read_feeds(spark: SparkSession, *paths: str, keep_rejects: bool = False) -> DataFrame:
+    """One row per landed channel; ``keep_rejects`` keeps what is no channel too
+    (see ``split_rejects``). An empty file has neither."""
+    return _parsed(_landed(spark.read).load(list(paths)), keep_rejects)
+
+
+def stream_feeds(spark: SparkSession, path: str, files_per_batch: int = 1000, keep_rejects: bool = False) -> DataFrame:
     """The same table as a stream of newly landed feed files."""
-    return (
-        spark.readStream.format("xml")
-        .option("rowTag", "channel")
-        .option("mode", "DROPMALFORMED")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .schema(FEED_CHANNEL)
-        .load(path)
-        .select("*", F.col("_metadata.file_path").alias("feed"))
-    )
+    landed = _landed(spark.readStream).option("maxFilesPerTrigger", files_per_batch)
+    return _parsed(landed.load(path), keep_rejects)
+
+
+def split_rejects(feeds: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(channels, rejects as (feed, reason, landed)) of feeds read with ``keep_rejects``."""
+    if "reject_reason" not in feeds.columns:
+        return feeds, None
+    bad = F.col("reject_reason").isNotNull()
+    return feeds.where(~bad).drop("reject_reason", "reject_text"), feeds.where(bad).select(
+        "feed", F.col("reject_reason").alias("reason"), F.col("reject_text").alias("landed"))
 
 
 def parse_feeds(df: DataFrame, xml: str, feed: str) -> DataFrame:
@@ -72,12 +106,14 @@ def parse_feeds(df: DataFrame, xml: str, feed: str) -> DataFrame:
 
 
 def feed_items(channels: DataFrame) -> DataFrame:
-    """One row per item with its position, guid text and the link of its feed."""
-    return channels.select(
-        "feed",
-        F.col("link").alias("beat_link"),
-        F.posexplode("item").alias("pos", "item"),
-    ).select(
+    """One row per item with its position, guid text and the link of its feed.
+    Rows that are no channel (``keep_rejects``) stay as they are, without item."""
+    rejects = [c for c in ("reject_reason", "reject_text") if c in channels.columns]
+    explode = F.posexplode_outer if rejects else F.posexplode
+    items = channels.select("feed", F.col("link").alias("beat_link"), explode("item").alias("pos", "item"), *rejects)
+    if rejects:
+        items = items.where("item is not null or reject_reason is not null")
+    return items.select(
         F.concat_ws("#", "feed", "pos").alias("item_id"),
         "feed",
         "pos",
@@ -87,6 +123,7 @@ def feed_items(channels: DataFrame) -> DataFrame:
         "item.category",
         F.col("item.pubDate").alias("pub_date"),
         F.col("item.guid._VALUE").alias("guid_text"),
+        *rejects,
     )
 
 

@@ -13,7 +13,8 @@ from newsgraph.plans.load import load_records
 from newsgraph.sinks.store import StarStore
 from newsgraph.sources.feeds import feed_addresses, feed_items, newest_items, read_feeds, stream_feeds
 from newsgraph.sources.tables import landed_pages, query_scan
-from newsgraph.streaming.cycle import keep_running, pick_stream, run_cycles, watch
+from newsgraph.streaming.cycle import keep_running, pick_stream, run_cycles
+from newsgraph.streaming.progress import watch
 
 NOW = dt.datetime(2016, 12, 8, tzinfo=dt.timezone.utc)
 FEEDS = str(FIXTURES / "feeds")
@@ -79,7 +80,7 @@ def test_stream_equals_the_same_batches_in_order(spark, tmp_path, to_records, re
         os.utime(target, (1_000_000_000 + 60 * i,) * 2)
     store, batches = StarStore(spark, str(tmp_path / "s")), StarStore(spark, str(tmp_path / "b"))
     args = dict(checkpoint=str(tmp_path / "c"), to_records=to_records, once=True, now=NOW)
-    log = watch(spark)
+    log = watch(spark, str(tmp_path / "log"))
     run_cycles(stream_feeds(spark, str(landing), files_per_batch=1), store, **args).awaitTermination()
     for file in files:
         load_records(batches, to_records(read_feeds(spark, str(landing / file.name))), now=NOW)

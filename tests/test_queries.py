@@ -30,7 +30,7 @@ def one_store():
     patch.undo()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
