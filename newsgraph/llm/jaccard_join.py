@@ -1,22 +1,29 @@
 """N-gram Jaccard self-join by universe partition and pigeonhole.
 
 Two sets link when 100 * |intersection| >= threshold * |union|. Such sets
-differ in at most H tokens, H = (100 - t)(|X| + |Y|) / (100 + t). The token
-universe is cut into segments by hash, as many as the size band of the smaller
-set needs. By pigeonhole, linked sets agree on one of any H + 1 segments, or are
-one token apart on one of (H + 1) / 2 segments. Per band, costs decide between
-the two: the subset of every segment, or of half as many segments the subset
-and its one-deletion neighbourhood.
-
-Sets that meet in a signature are candidates. Small groups are compared pair by
-pair. In a large group all sets are compared with one pivot. Two sets that link
-the pivot need no more: they are in one component. Of any other linked pair, one
-is not linked with the pivot, and then both share a token among the rarer part
-of their differences from the pivot (prefix rule), so these tokens are the
-signatures of a next level, until no candidate is left. So no pair of sets that
-link escapes, and no group is compared all against all.
-
-Sets are 64-bit shingle hashes, equal sets are one class with a 64-bit key.
+differ in at most H tokens, H the smaller size times (100 - t) / t. The token
+universe is cut by hash into segments, as many as the size band of the smaller set
+needs. A segment is indexed by its subset (weight 1: linked sets can agree on
+it) or by its subset and its one-deletion neighbourhood (weight 2: they can be
+one token apart). By pigeonhole, linked sets share a key on some segment of any
+selection of weight H + 1. Per band, costs decide between the subsets of all
+segments and deletions on half as many, from the keys of a bounded sample of its sets.
+
+Every set picks its own selection. Segments on which it shares a key with no other
+set cost nothing: a set that has H + 1 of these is alone and leaves, and what is
+left is counted again. The others add their cheapest segments. A linked pair
+meets in the selections of both its sets, so it is enough to look from the
+cheaper one: members of a large group of near copies that differ from it a little
+select the rare keys of their differences, not the keys that the group shares.
+
+Where sets meet, all are first compared with one of them, that with the
+dearest selection (the centre of a group of copies). Sets of one component need
+no comparison any more; the rest of a group is compared by blocks, by sizes and
+count sketches first, then exactly. No link between different sets escapes, and
+a group that is one component is never compared all against all.
+
+Sets are 64-bit shingle hashes, equal sets are one class with a 64-bit key; two
+different shingles or sets count as one with a chance below their squared number / 2^64.
 """
 
 from __future__ import annotations
@@ -26,20 +33,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsgraph.llm.common import Written, small, written
 from newsgraph.llm.components import components
 from newsgraph.llm.shingles import mix, shingle_set
 
-#: Groups up to this many sets are compared pair by pair; larger ones by pivot.
-PAIRWISE = 16
-#: The same for the groups of later levels, whose tokens are rare ones.
-LATER_PAIRWISE = 64
+#: Members of a group that are compared together; larger groups are compared by pairs of such blocks.
+BLOCK = 512
 #: Buckets of the count sketch, whose distance bounds the set distance from below.
-SKETCH = 64
-#: Taken chance that a token of one set is in another set of its band (cost model).
-TOKEN_CHANCE = 0.1
+SKETCH = 256
+#: Sets per band whose keys the cost plan looks at, and the index rows that a candidate counts for.
+SAMPLE, CANDIDATE_ROWS = 512, 20
+#: Times that sets without partners leave and the rest is counted again.
+ROUNDS = 2
+#: Classes a task remembers, so that copies in it give their keys once.
+REMEMBERED = 1 << 20
 FLUSH_ROWS = 200_000
 
 
@@ -49,7 +58,7 @@ def _slack(size, threshold: int):
 
 
 def _band(size: int, threshold: int) -> int:
-    """Size band: sets of band b need between 2^b + 1 and 2^(b+1) segments."""
+    """Size band: sets of band b need a selection of weight 2^b + 1 to 2^(b+1)."""
     return _slack(size, threshold).bit_length() - 1
 
 
@@ -64,81 +73,146 @@ def _profiles(batches, width: int, ids: str, text: str) -> Iterator[pa.RecordBat
             batch.column(ids),
             pa.array([s.size for s in sets], pa.int64()),
             pa.array([_key(s, 11) for s in sets], pa.int64()),
-            pa.array([
-                np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH,
-                                       minlength=SKETCH), 255).astype(np.uint8).tobytes()
-                for s in sets], pa.binary()),
-        ], ["doc_id", "n", "class", "sketch"])
+        ], ["doc_id", "n", "class"])
 
 
-def plan_bands(counts: dict[int, int], threshold: int) -> dict[int, bool]:
-    """Per band: whether one-deletion neighbourhoods on half as many segments
-    cost less than plain subsets. Costs are signature rows and the candidates
-    expected from the number of sets in the band."""
-    plan = {}
-    for band, sets in counts.items():
-        size = 2 ** band * threshold / (100 - threshold) * 1.5
-        plain, halves = 2 ** (band + 1), 2 ** band
-        cost_plain = plain * (1 + sets * TOKEN_CHANCE ** (size / plain))
-        cost_deletion = (size + halves) * (1 + sets * TOKEN_CHANCE ** (size / halves - 1))
-        plan[band] = bool(cost_deletion < cost_plain)
-    return plan
-
-
-def _segment_keys(tokens: np.ndarray, band: int, needed: int, deletions: bool) -> np.ndarray:
-    """Signatures of a set under a band's partition of the universe."""
+def segment_keys(tokens: np.ndarray, band: int, deletions: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, segments) of a set under a band's partition of the universe, of weight 2^(band+1) in all."""
     m = 2 ** band if deletions else 2 ** (band + 1)
-    used = (needed + 1) // 2 if deletions else needed
     place = (mix(tokens, 100 + band) & np.uint64(m - 1)).astype(np.int64)
     value = mix(tokens, 7)
     sums = np.zeros(m, np.uint64)
     np.add.at(sums, place, value)
     sizes = np.bincount(place, minlength=m).astype(np.uint64)
-    where = np.arange(used, dtype=np.uint64) + np.uint64(band << 40)
-    keys = [mix(sums[:used] + mix(sizes[:used], 3) + mix(where, 5))]
+    where = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 40), 5)
+    keys, segments = mix(sums + mix(sizes, 3) + where), np.arange(m)
     if deletions:
-        keep = place < used
-        at = place[keep]
-        keys.append(mix(sums[at] - value[keep] + mix(sizes[at] - np.uint64(1), 3) + mix(where[at], 5)))
-    return np.unique(np.concatenate(keys)).view(np.int64)
+        less = mix(sums[place] - value + mix(sizes[place] - np.uint64(1), 3) + where[place])
+        keys, segments = np.concatenate([keys, less]), np.concatenate([segments, place])
+    return keys.view(np.int64), segments
 
 
-def _signatures(batches, width: int, threshold: int, plan: dict[int, bool], text: str):
-    """(sig, class, own) rows; equal sets of one task give theirs once. ``own``
-    marks the band of the set itself; the others probe the band below."""
+def _index(batches, width: int, threshold: int, plan: dict[int, bool], text: str) -> Iterator[pa.RecordBatch]:
+    """(sig, class, own, segment, n): the keys of every set. ``own`` marks the
+    partition of the set's band; a set that can link with smaller ones of the band
+    below has keys under that one as well."""
     seen: set[int] = set()
-    out: list[tuple[np.ndarray, int, bool]] = []
-    size = 0
+    out: list[tuple[np.ndarray, np.ndarray, int, bool, int]] = []
+    held = 0
 
     def flush():
+        sizes = [k.size for k, *_ in out]
         return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([k for k, _, _ in out])),
-            pa.array(np.concatenate([np.full(k.size, c, np.int64) for k, c, _ in out])),
-            pa.array(np.concatenate([np.full(k.size, o) for k, _, o in out])),
-        ], ["sig", "class", "own"])
+            pa.array(np.concatenate([o[0] for o in out])), pa.array(np.repeat(np.array([o[2] for o in out], np.int64), sizes)),
+            pa.array(np.repeat(np.array([o[3] for o in out], bool), sizes)),
+            pa.array(np.concatenate([o[1] for o in out]).astype(np.int32)),
+            pa.array(np.repeat(np.array([o[4] for o in out], np.int64), sizes)),
+        ], ["sig", "class", "own", "segment", "n"])
 
     for batch in batches:
         for value in batch.column(text):
             tokens = shingle_set(value.as_py(), width)
-            slack = _slack(tokens.size, threshold)
-            key = int(_key(tokens, 11)) if slack else 0
-            if not slack or key in seen:
+            key = int(_key(tokens, 11)) if _slack(tokens.size, threshold) else 0
+            if not key or key in seen:
                 continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
             seen.add(key)
             band = _band(tokens.size, threshold)
+            bands = [(band, True)]
             least = -(-tokens.size * threshold // 100)
-            out.append((_segment_keys(tokens, band, slack + 1, plan.get(band, False)), key, True))
-            if _slack(least, threshold) and (low := _band(least, threshold)) < band:
-                out.append((_segment_keys(tokens, low, 2 ** (low + 1), plan.get(low, False)), key, False))
-                size += out[-1][0].size
-            size += out[-1][0].size
-            if size >= FLUSH_ROWS:
+            if _slack(least, threshold) and _band(least, threshold) < band:
+                bands.append((band - 1, False))
+            for b, own in bands:
+                keys, segments = segment_keys(tokens, b, plan.get(b, False))
+                out.append((keys, segments, key, own, tokens.size))
+                held += keys.size
+            if held >= FLUSH_ROWS:
                 yield flush()
-                out, size = [], 0
+                out, held = [], 0
     if out:
         yield flush()
 
 
+def _both_ways(batches, width: int, threshold: int, text: str) -> Iterator[pa.RecordBatch]:
+    """(band, deletions, sig) of sampled sets under either way of indexing."""
+    for batch in batches:
+        for value in batch.column(text):
+            tokens = shingle_set(value.as_py(), width)
+            if not _slack(tokens.size, threshold):
+                continue
+            band = _band(tokens.size, threshold)
+            for deletions in (False, True):
+                keys, _ = segment_keys(tokens, band, deletions)
+                keys = np.unique(keys)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(keys.size, band, np.int32)), pa.array(np.full(keys.size, deletions)), pa.array(keys),
+                ], ["band", "deletions", "sig"])
+
+
+def plan_bands(source: DataFrame, classes: DataFrame, width: int, threshold: int) -> dict[int, bool]:
+    """Per band: whether one-deletion neighbourhoods on half as many segments
+    cost less than plain subsets. Costs are index rows and the candidates that
+    the keys of ``SAMPLE`` sets of the band let expect of all its sets. The plan
+    changes the cost, not the result."""
+    banded = classes.where(_slack_of(F.col("n"), threshold) > 0).withColumn("band", _band_of(F.col("n"), threshold))
+    totals = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
+    turn = F.row_number().over(Window.partitionBy("band").orderBy("class"))
+    # at most SAMPLE rows per band, and a band per doubling of the size
+    chosen = F.broadcast(banded.withColumn("_turn", turn).where(F.col("_turn") <= SAMPLE).select("doc_id"))
+    keys = source.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(
+        partial(_both_ways, width=width, threshold=threshold, text="text"), "band int, deletions boolean, sig long")
+    found = keys.groupBy("band", "deletions", "sig").agg(F.count("*").alias("c")).groupBy("band", "deletions").agg(
+        F.sum("c").alias("rows"), F.sum(F.expr("c * (c - 1) div 2")).alias("pairs")).collect()
+    cost = {}
+    for r in found:
+        sets, sample = totals.get(r["band"], 0), min(SAMPLE, totals.get(r["band"], 0)) or 1
+        cost[r["band"], r["deletions"]] = r["rows"] / sample + CANDIDATE_ROWS * r["pairs"] * sets / sample**2
+    return {b: cost[b, True] < cost[b, False] for b, deletions in cost if deletions and (b, False) in cost}
+
+
+def _slack_of(n: Column, threshold: int) -> Column:
+    return F.call_function("div", n * (100 - threshold), F.lit(threshold))
+
+
+def _band_of(n: Column, threshold: int) -> Column:
+    return F.length(F.bin(_slack_of(n, threshold))) - 1
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Keys that two sets have, one of them in its own band."""
+    return rows.groupBy("sig").agg(F.min("class").alias("_a"), F.max("class").alias("_b"), F.max("own").alias("_own")).where(
+        "_a <> _b and _own").select("sig")
+
+
+def _survivors(rows: DataFrame, threshold: int, plan: dict[int, bool]) -> DataFrame:
+    """``rows`` of the sets that may have a partner, with ``weight`` of the
+    segment and ``need``: the weight to select among the shared segments."""
+    band = _band_of(F.col("n"), threshold) - F.when(F.col("own"), 0).otherwise(1)
+    weight = F.when(band.isin([b for b, deletions in plan.items() if deletions]), 2).otherwise(1)
+    total = F.call_function("shiftleft", F.lit(1).cast("long"), (band + 1).cast("int"))
+    most = F.when(F.col("own"), _slack_of(F.col("n"), threshold)).otherwise(total - 1)
+    segments = rows.select("class", "own", "n", "segment").distinct().withColumn("weight", weight)
+    need = most + 1 - (total - F.sum("weight"))
+    kept = segments.groupBy("class", "own", "n").agg(need.alias("need")).where("need > 0").drop("n")
+    return rows.drop("need", "weight").join(kept, ["class", "own"]).withColumn("weight", weight)
+
+
+def _selected(rows: DataFrame) -> DataFrame:
+    """(sig, class, own, n, probe, cost): ``probe`` marks the keys of the
+    segments that a set selects, ``cost`` the sets it meets there."""
+    counts = rows.groupBy("sig").agg((F.count("*") - 1).alias("meets"))
+    priced = written(rows.join(small(counts, 24), "sig"), "priced")
+    segments = priced.groupBy("class", "own", "segment").agg(
+        F.sum("meets").alias("meets"), F.first("weight").alias("weight"), F.first("need").alias("need"))
+    by = Window.partitionBy("class", "own")
+    before = F.coalesce(F.sum("weight").over(by.orderBy("meets", "segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = segments.withColumn("probe", before < F.col("need")).withColumn(
+        "cost", F.sum(F.when(F.col("probe"), F.col("meets"))).over(by))
+    return priced.join(chosen.select("class", "own", "segment", "probe", "cost"), ["class", "own", "segment"]).select(
+        "sig", "class", "own", "n", "probe", "cost")
+
+
 def _sets(batches, width: int, text: str) -> Iterator[pa.RecordBatch]:
     """The sets of wanted classes; a repeated id whose text is of another class gives none."""
     for batch in batches:
@@ -148,214 +222,140 @@ def _sets(batches, width: int, text: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([
             batch.column("class").filter(keep),
             pa.array([s.tobytes() for s in sets], pa.binary()).filter(keep),
-        ], ["class", "tokens"])
+            pa.array([np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255
+                                 ).astype(np.uint8).tobytes() for s in sets], pa.binary()).filter(keep),
+        ], ["class", "tokens", "sketch"])
 
 
-def _near(batches, threshold: int) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs that sizes and sketches cannot rule out."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8)
-                  .reshape(n, SKETCH).astype(np.int32) for c in ("sketch_a", "sketch_b"))
-        na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        most = (100 - threshold) * (na + nb) // (100 + threshold)
-        near = np.abs(sa - sb).sum(1) <= most
-        near &= 100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)
-        keep = pa.array(near | batch.column("heavy").to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c).filter(keep) for c in ("a", "b", "heavy")] + [pa.array(near).filter(keep)],
-            ["a", "b", "heavy", "near"])
-
-
-def _verify(batches, threshold: int, split: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b, linked, diff, n_index, n_probe, far): exact comparison of ``a`` with ``b``.
-
-    For pairs of a large group with its pivot ``a`` also the tokens in which they
-    differ, and how many of these, rarest first, ``b`` needs to meet others: as
-    a partner of a set that the pivot does not link (n_index), and as such a set
-    itself (n_probe, 0 if linked). On the first level (``split``) sets far from
-    the pivot are marked instead, and of the others those in between as well: two
-    linked sets differ from the pivot by nearly as much, so both are near or both
-    are far.
-    """
+def _linked(batches, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets link, compared exactly."""
     for batch in batches:
-        rows: list[tuple] = []
-        for a, b, heavy, ta, tb in zip(*(batch.column(c).to_pylist() for c in
-                                         ("a", "b", "heavy", "tokens_a", "tokens_b")), strict=True):
-            x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
+        keep = []
+        for ta, tb in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
+            x, y = np.frombuffer(ta.as_buffer(), np.uint64), np.frombuffer(tb.as_buffer(), np.uint64)
             common = np.intersect1d(x, y, assume_unique=True).size
-            linked = 100 * common >= threshold * (x.size + y.size - common)
-            diff, n_index, n_probe = None, 0, 0
-            apart, reach = x.size + y.size - 2 * common, _slack(y.size, threshold)
-            far = bool(heavy and split and apart > reach)
-            if heavy and not (split and apart > 6 * reach + 6):
-                diff = np.setxor1d(x, y, assume_unique=True)
-                most = _slack(y.size, threshold)
-                # the least difference from the pivot that an unlinked partner has
-                least = (100 - threshold) * (-(-threshold * y.size // 100) + x.size) // (100 + threshold) + 1
-                least = max(least, diff.size - most)
-                # so many differences from the pivot a linked pair has in common at least
-                overlap = max(1, -(-(least + diff.size - most) // 2))
-                n_index = max(0, diff.size - overlap + 1)
-                n_probe = 0 if linked else min(diff.size, most + 1)
-                diff = diff.view(np.int64).tolist()
-            rows.append((a, b, linked, diff, n_index, n_probe, far))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
-                (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()))],
-            ["a", "b", "linked", "diff", "n_index", "n_probe", "far"])
-
-
-def _next_level(judged: DataFrame) -> DataFrame:
-    """(sig, class, own): the sets of each pivot, under the tokens of their
-    prefixes. Tokens are ranked by the number of sets of the pivot that have
-    them, so what all share (as what the pivot alone lacks) comes last."""
-    tokens = Written(judged.where("diff is not null").select(
-        "a", "b", "n_index", "n_probe", F.explode("diff").alias("token")), "differences")
-    shared = tokens.df.groupBy("a", "token").agg(F.count("*").alias("_count"))
-    turn = F.row_number().over(Window.partitionBy("a", "b").orderBy("_count", "token"))
-    prefix = written(
-        tokens.df.join(shared, ["a", "token"]).withColumn("_turn", turn)
-        .where("_turn <= greatest(n_index, n_probe) and _count > 1")
-        .select(F.xxhash64("a", "token").alias("sig"), F.col("b").alias("class"),
-                (F.col("_turn") <= F.col("n_probe")).alias("probe")), "prefixes")
-    tokens.drop()
-    probed = prefix.where("probe").select("sig").distinct()
-    return prefix.join(probed, "sig", "left_semi").select("sig", "class", F.lit(True).alias("own")).distinct()
-
-
-def _exploded(batches) -> Iterator[pa.RecordBatch]:
+            keep.append(100 * common >= threshold * (x.size + y.size - common))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], ["a", "b"])
+
+
+def _compare(rows: list[pa.RecordBatch], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of one block pair that sizes, sketches and components cannot rule out."""
+    table = pa.Table.from_batches(rows)
+    get = lambda c: table.column(c).to_numpy()
+    classes, n, cost, component, block = get("class"), get("n"), get("cost"), get("component"), get("block")
+    own, probe = get("own"), get("probe")
+    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    order = np.lexsort((classes, cost))  # the cheaper set of a pair looks
+    rank = np.empty(order.size, np.int64)
+    rank[order] = np.arange(order.size)
+    a, b = [], []
+    for x in np.flatnonzero(probe):
+        may = (rank > rank[x]) & (component != component[x]) & (own | own[x])
+        if low != high:
+            may &= block != block[x]
+        may &= 100 * np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])
+        y = np.flatnonzero(may)
+        if y.size:
+            most = (100 - threshold) * (n[y] + n[x]) // (100 + threshold)
+            y = y[np.abs(sketches[y] - sketches[x]).sum(1) <= most]
+            a.append(np.full(y.size, classes[x]))
+            b.append(classes[y])
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _block_pairs(batches, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Candidates of the block pairs, whose rows come one after the other."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def done():
+        a, b = _compare(held, threshold)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            sets = [np.frombuffer(t, np.int64) for t in part.column("tokens").to_pylist()]
-            sizes = [s.size for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(part.column("class").to_numpy(), sizes)), pa.array(np.concatenate(sets)),
-                 pa.array(np.repeat(np.array(sizes, np.int64), sizes))], ["class", "token", "n"])
-
-
-def _rare_tokens(judged: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(sig, class, own): sets far from a pivot, each once, under the rarest of
-    their tokens. Linked sets share one of the first slack + 1 tokens (prefix rule)."""
-    far = judged.where("far").select(F.col("b").alias("class")).distinct()
-    tokens = Written(sets.join(far, "class", "left_semi").mapInArrow(
-        _exploded, "class long, token long, n long"), "far")
-    shared = tokens.df.groupBy("token").agg(F.count("*").alias("_count")).where("_count > 1")
-    # tokens of one set only come first in the order and take a place, but meet nothing
-    alone = tokens.df.join(shared, "token", "left_semi").groupBy("class").agg(
-        F.count("*").alias("_shared"), F.first("n").alias("n"))
-    room = F.expr(f"n * {100 - threshold} div {threshold} + 1 - (n - _shared)")
-    turn = F.row_number().over(Window.partitionBy("class").orderBy("_count", "token"))
-    out = written(
-        tokens.df.select("class", "token").join(shared, "token").join(
-            alone.select("class", room.alias("_room")).where("_room > 0"), "class")
-        .withColumn("_turn", turn).where("_turn <= _room")
-        .select(F.xxhash64(F.lit("far"), "token").alias("sig"), "class", F.lit(True).alias("own")), "rare")
-    tokens.drop()
-    return out
-
-
-def _candidates(rows: DataFrame, pairwise: int) -> DataFrame:
-    """(a, b, heavy) from (sig, class, own): all pairs of small groups, pairs
-    with the smallest own member (the pivot) of large ones."""
-    groups = rows.groupBy("sig").agg(
-        F.min(F.when(F.col("own"), F.col("class"))).alias("pivot"),
-        F.min("class").alias("_least"), F.max("class").alias("_most"), F.count("*").alias("_count"),
-    ).where("pivot is not null and _least <> _most").select("sig", "pivot", "_count")
-    groups = written(groups, "groups")
-    members = Written(rows.join(small(groups, 32), "sig").distinct(), "members")
-    heavy = F.col("_count") > pairwise
-    light = members.df.where(~heavy)
-    left, right = (light.select("sig", F.col("class").alias(c), F.col("own").alias(f"own_{c}"))
-                   for c in "ab")
-    pairs = (
-        left.join(right, "sig").where("a < b and (own_a or own_b)").select("a", "b", F.lit(False).alias("heavy"))
-        .union(members.df.where(heavy & (F.col("class") != F.col("pivot")))
-               .select(F.col("pivot").alias("a"), F.col("class").alias("b"), F.lit(True).alias("heavy")))
-    )
-    return pairs.groupBy("a", "b").agg(F.max("heavy").alias("heavy"))
-
-
-def linked_classes(docs: DataFrame, classes: DataFrame, width: int,
-                   threshold: int, id_column: str, text_column: str,
-                   plan: dict[int, bool] | None = None, pairwise: int = PAIRWISE) -> DataFrame:
-    """(a, b): links of classes, enough of them to connect what is linked."""
-    spark = docs.sparkSession
-    slack = F.expr(f"n * {100 - threshold} div {threshold}")
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("sig", "low", "high")], 1)
+        edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1), batch.num_rows]
+        for i, j in zip(edges, edges[1:]):
+            if held and key != tuple(keys[i]):
+                yield done()
+                held = []
+            key = tuple(keys[i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield done()
+
+
+def linked_classes(source: DataFrame, classes: DataFrame, width: int, threshold: int,
+                   plan: dict[int, bool] | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of classes, enough of them to connect what is linked.
+
+    ``source`` has (doc_id, text), ``classes`` (class, doc_id, n)."""
     if plan is None:
-        bands = (classes.where(slack > 0).groupBy(F.floor(F.log2(slack + F.lit(0.5))).cast("int").alias("band"))
-                 .agg(F.count("*").alias("sets")))
-        plan = plan_bands({r["band"]: r["sets"] for r in bands.collect()}, threshold)
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    first = Written(source.select("text").mapInArrow(
-        partial(_signatures, width=width, threshold=threshold, plan=dict(plan), text="text"),
-        "sig long, class long, own boolean"), "signatures")
-    rows = first.df
-    ends = [classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"),
-                           F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
-    sets: DataFrame | None = None
-    links: list[DataFrame] = []
-    done: DataFrame | None = None
-    while True:
-        pairs = written(_candidates(rows, pairwise), "candidates")
-        if done is not None:  # pairs with a pivot are compared again: the others of its group need their tokens
-            pairs = pairs.join(done.distinct().withColumn("_seen", F.lit(True)), ["a", "b"], "left").where(
-                "heavy or _seen is null").drop("_seen")
-        kept = written(
-            pairs.join(ends[0], "a").join(ends[1], "b")
-            .mapInArrow(partial(_near, threshold=threshold), "a long, b long, heavy boolean, near boolean"),
-            "pairs")
-        first.drop()
-        # differences are needed only of pivots with two members or more
-        wide = kept.where("heavy").groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select(
-            "a", F.lit(True).alias("wide"))
-        kept = written(
-            kept.join(wide, "a", "left")
-            .select("a", "b", F.coalesce(F.col("heavy") & F.col("wide"), F.lit(False)).alias("heavy"), "near")
-            .where("near or heavy"), "pairs")
-        shape = kept.agg(F.count("*"), F.max("heavy")).first()
-        if not shape[0]:
-            break
-        any_heavy = shape[1]
-        if sets is None:  # later levels compare the same sets again
-            wanted = kept.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-            wanted = written(wanted.join(classes.select("class", "doc_id"), "class"), "wanted")
-            sets = written(
-                source.join(small(wanted, 32), "doc_id").select("class", "text")
-                .mapInArrow(partial(_sets, width=width, text="text"), "class long, tokens binary")
-                .dropDuplicates(["class"]), "sets")
-        judged = written(
-            kept.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("tokens_a")), "a")
+        plan = plan_bands(source, classes, width, threshold)
+    # what every set has, and of that the keys that two sets share
+    index = Written(source.select("text").mapInArrow(
+        partial(_index, width=width, threshold=threshold, plan=dict(plan), text="text"),
+        "sig long, class long, own boolean, segment int, n long"), "index")
+    shared = written(_shared(index.df), "shared")
+    rows = Written(index.df.join(small(shared, 16), "sig", "left_semi").dropDuplicates(["sig", "class", "own"]), "rows")
+    index.drop()
+    for _ in range(ROUNDS):
+        left = Written(_survivors(rows.df, threshold, plan), "survivors")
+        rows.drop()
+        rows = Written(left.df.join(_shared(left.df), "sig", "left_semi"), "rows")
+        left.drop()
+    # segments that nobody shares any more cost nothing: the weight to select follows
+    left = Written(_survivors(rows.df, threshold, plan), "survivors")
+    rows.drop()
+    chosen = Written(_selected(left.df), "selected")
+    left.drop()
+
+    groups = chosen.df.groupBy("sig").agg(F.max(F.struct("own", "cost", "class", "n")).alias("centre"), F.max("probe").alias("_any")).where(
+        "_any and centre.own")
+    groups = written(groups.select("sig", F.col("centre.class").alias("centre"), F.col("centre.n").alias("centre_n")), "centres")
+    near = f"100 * least(n, centre_n) >= {threshold} * greatest(n, centre_n)"
+    stars = chosen.df.join(small(groups, 40), "sig").where("class <> centre").where(near).select(
+        F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
+    wanted = written(chosen.df.select("class").distinct().join(classes.select("class", "doc_id"), "class"), "wanted")
+    sets = written(
+        source.join(small(wanted, 32), "doc_id").select("class", "text")
+        .mapInArrow(partial(_sets, width=width, text="text"), "class long, tokens binary, sketch binary")
+        .dropDuplicates(["class"]), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(
+            pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("tokens_a")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-            .select("a", "b", "heavy", "tokens_a", "tokens_b")
-            .mapInArrow(partial(_verify, threshold=threshold, split=done is None),
-                        "a long, b long, linked boolean, diff array<long>, n_index long, n_probe long, far boolean"),
-            "judged")
-        first_level = done is None
-        links.append(judged.where("linked").select("a", "b"))
-        seen = kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        done = seen if done is None else done.unionByName(seen)
-        if not any_heavy:
-            break
-        rows = _next_level(judged)
-        if first_level:
-            rows = rows.unionByName(_rare_tokens(judged, sets, threshold))
-        rows = written(rows, "level")
-        pairwise = max(pairwise, LATER_PAIRWISE)
-        if rows.isEmpty():
-            break
-    out = spark.createDataFrame([], "a long, b long")
-    for one in links:
-        out = out.unionByName(one)
-    return out
+            .mapInArrow(partial(_linked, threshold=threshold), "a long, b long"), "links")
+
+    first = verified(stars)
+    joined = components(first, "a", "b").select(F.col("node").alias("class"), "component")
+    members = written(chosen.df.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "members")
+    chosen.drop()
+    # keys where sets of several components meet
+    open_keys = members.groupBy("sig").agg(
+        F.min("component").alias("_a"), F.max("component").alias("_b"), F.max("probe").alias("_any"), F.count("*").alias("_n"),
+    ).where("_a <> _b and _any").select("sig", F.ceil(F.col("_n") / block).cast("int").alias("blocks"))
+    dealt = members.join(small(written(open_keys, "open"), 24), "sig").withColumn(
+        "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks")
+    shape = dealt.join(sets.select("class", "sketch"), "class")
+    shape = shape.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    more = verified(written(shape.mapInArrow(partial(_block_pairs, threshold=threshold), "a long, b long").distinct(), "pairs"))
+    return first.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80,
                     id_column: str = "doc_id", text_column: str = "text",
-                    plan: dict[int, bool] | None = None, pairwise: int = PAIRWISE) -> DataFrame:
+                    plan: dict[int, bool] | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``.
 
     Sets of distinct ``width``-word shingles of the lower-cased (A-Z) whole
@@ -364,18 +364,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80,
     the smallest id reachable. Null, empty and blank texts have no shingle and
     link with nothing. Repeated rows come back as often as they are. A null id
     is a row of its own component (null) and represents no class unless it is
-    the only member. Other columns are ignored. ``plan`` and ``pairwise`` (cost
-    plan per band, size of small groups) change the cost, not the result.
+    the only member. Texts of any length are compared whole. Other columns are
+    ignored. ``plan`` and ``block`` (deletions per band, members compared
+    together) change the cost, not the result.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     profiles = written(
         source.mapInArrow(partial(_profiles, width=width, ids="doc_id", text="text"),
-                          "doc_id long, n long, class long, sketch binary"), "profiles")
+                          "doc_id long, n long, class long"), "profiles")
     classes = written(
         profiles.where("n > 0").groupBy("class").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n")),
         "classes")
-    links = linked_classes(source, classes, width, threshold, "doc_id", "text", plan, pairwise)
+    links = linked_classes(source, classes, width, threshold, plan, block)
     named = [classes.select(F.col("class").alias(c), F.col("doc_id").alias(f"doc_{c}")) for c in "ab"]
     edges = links.join(named[0], "a").join(named[1], "b").select("doc_a", "doc_b")
     joined = components(edges, "doc_a", "doc_b")

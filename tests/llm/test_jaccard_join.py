@@ -52,17 +52,40 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("width", "threshold", "pairwise", "deletions"), [
-    (3, 90, 16, False), (3, 90, 1, True), (5, 80, 2, False)])
-def test_equals_brute_force(spark, monkeypatch, width, threshold, pairwise, deletions):
-    monkeypatch.setattr(jaccard_join, "LATER_PAIRWISE", 4)
-    docs = corpus(width * threshold + pairwise)
+@pytest.mark.parametrize(("width", "threshold", "block", "deletions"), [
+    (3, 90, 512, False), (3, 90, 2, True), (5, 80, 4, False), (5, 80, 512, True), (3, 90, 3, None), (5, 80, 1, None)])
+def test_equals_brute_force(spark, width, threshold, block, deletions):
+    docs = corpus(width * threshold + block)
     df = spark.createDataFrame([(d, t, "en", "x", 1) for d, t in docs], SCHEMA).repartition(3)
-    plan = dict.fromkeys(range(20), deletions)
-    got = near_duplicates(df, width, threshold, plan=plan, pairwise=pairwise)
+    plan = None if deletions is None else dict.fromkeys(range(20), deletions)
+    got = near_duplicates(df, width, threshold, plan=plan, block=block)
     assert sorted(map(tuple, got.collect())) == brute(docs, width, threshold)
 
 
+def chained(seed, copies):
+    """One large group: copies of a text with 0 to 8 of a few edits each, so that
+    pairs lie on both sides of the threshold, and copies of copies."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(copies):
+        copy = list(base)
+        for at in r.sample(range(0, 120, 6), r.randint(0, 8)):
+            copy[at] = f"x{at}"
+        texts.append(" ".join(copy))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize(("block", "deletions"), [(16, False), (512, None), (7, True)])
+def test_large_group_around_the_threshold(spark, block, deletions):
+    docs = chained(block, 150)
+    df = spark.createDataFrame([(d, t, "en", "x", 1) for d, t in docs], SCHEMA)
+    plan = None if deletions is None else dict.fromkeys(range(20), deletions)
+    got = sorted(map(tuple, near_duplicates(df, 3, 90, plan=plan, block=block).collect()))
+    assert got == brute(docs, 3, 90)
+    assert 1 < len({g[2] for g in got}) < 150
+
+
 def test_empty_table_repeated_rows_and_null_ids(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     long = " ".join(f"word{i % 977}" for i in range(60_000))
@@ -72,6 +95,16 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
     assert [g[0::2] for g in got] == [(1, 1), (1, 1), (2, 1), (7, 7), (9, 7), (None, None)]
 
 
-def test_deletions_are_planned_where_plain_segments_collide():
-    assert plan_bands({1: 10, 5: 10}, 90) == {1: False, 5: False}
-    assert plan_bands({1: 10**12}, 90) == {1: True}
+def planned(spark, docs):
+    source = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [(i, d, len(shingles(t, 3))) for i, (d, t) in enumerate(docs)]
+    return plan_bands(source, spark.createDataFrame(rows, "class long, doc_id long, n long"), 3, 90)
+
+
+def test_deletions_are_planned_where_plain_segments_collide(spark):
+    """Texts with the same beginning agree on one of two segments, but differ in more than one token."""
+    r = random.Random(1)
+    same = "a b c d e f g h i j k l"
+    assert planned(spark, [(i, f"{same} {r.random()} {r.random()}") for i in range(300)])[0]
+    other = [(i, " ".join(str(r.random()) for _ in range(13))) for i in range(300)]
+    assert planned(spark, other) == {0: False}
