@@ -24,6 +24,8 @@ from newsgraph.llm.tokens import token_rows, unpacked
 MAGIC = b"NGT1"
 #: A block is closed when it holds this many ids; a longer document is one block.
 BLOCK_IDS = 1 << 16
+#: Documents whose ids are counted at once.
+COUNTED_TOGETHER = 256
 
 #: For each control byte: the byte counts of its four values, and their sum.
 LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
@@ -80,24 +82,23 @@ def read_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def _count(batches) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for data in batch.column("ids"):
-            found = np.bincount(unpacked(data.as_py()))
-            if found.size > total.size:
-                found[:total.size] += total
-                total = found
-            else:
-                total[:found.size] += found
+        for at in range(0, batch.num_rows, COUNTED_TOGETHER):
+            part = batch.column("ids").slice(at, COUNTED_TOGETHER)
+            found = np.bincount(np.concatenate([unpacked(data) for data in part.to_pylist()]), minlength=total.size)
+            found[:total.size] += total
+            total = found
     kinds = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(total[kinds], pa.int64())], ["id", "n"])
 
 
-def rank_table(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+def rank_table(tokens: DataFrame) -> np.ndarray:
     """The ids by falling frequency over all documents, ties to the smaller id.
 
-    Counted per task, summed by id. At most ``vocabulary`` rows reach the driver.
+    Counted per task, summed by id. The driver gets a row per kind of id that
+    occurs, at most the vocabulary of the tokenizer.
     """
     counts = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "id").limit(vocabulary).toPandas()
+    rows = counts.orderBy(F.desc("n"), "id").toPandas()
     return rows["id"].to_numpy(np.uint32)
 
 
@@ -129,13 +130,13 @@ def _blocks(batches, order: np.ndarray, block_ids: int) -> Iterator[pa.RecordBat
         yield flush()
 
 
-def write_token_files(docs: DataFrame, target: str, path: str, end: int = 2, vocabulary: int = 65_536,
+def write_token_files(docs: DataFrame, target: str, path: str, end: int = 2,
                       block_ids: int = BLOCK_IDS, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Writes ``target/blocks`` (files in ascending order of document id, each a
     run of blocks) and ``target/ranks`` (the ids by rank)."""
     spark = docs.sparkSession
     tokens = Written(token_rows(docs, path, end, id_column, text_column), "tokens")
-    order = rank_table(tokens.df, vocabulary)
+    order = rank_table(tokens.df)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank long, id long").coalesce(1).write.parquet(
         f"{target}/ranks")
     (
@@ -160,10 +161,10 @@ def _documents(batches, order: np.ndarray) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "n_tokens", "ids_crc32", "ids"])
 
 
-def read_token_files(spark: SparkSession, target: str, vocabulary: int = 65_536) -> DataFrame:
+def read_token_files(spark: SparkSession, target: str) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, ids) from the files; ids are little-endian
-    unsigned 32-bit bytes. The rank table has at most ``vocabulary`` rows."""
-    ranks = spark.read.parquet(f"{target}/ranks").orderBy("rank").limit(vocabulary).toPandas()
+    unsigned 32-bit bytes. The rank table has a row per kind of id in the files."""
+    ranks = spark.read.parquet(f"{target}/ranks").orderBy("rank").toPandas()
     return spark.read.parquet(f"{target}/blocks").select("block").mapInArrow(
         partial(_documents, order=ranks["id"].to_numpy(np.uint32)),
         "doc_id long, n_tokens long, ids_crc32 long, ids binary")

@@ -2,55 +2,142 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
 
-#: Pieces whose ids a worker remembers at most (about 150 MB); then it starts anew.
-MEMORY = 1_000_000
+#: Bytes of pieces and ids that a worker remembers, about, in each of two
+#: generations; pieces longer than that are encoded each time.
+MEMORY_BYTES, LONGEST = 144 << 20, 64
+#: What a remembered piece takes besides its characters and ids.
+ENTRY_BYTES = 160
+#: Texts whose new pieces are encoded by one call.
+TOGETHER = 256
 #: A blank before another white space or the end: only there a cut at blanks is not one before a word.
 _ODD_BLANK = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r"(?= \S)")
+#: Punctuation that is one pre-token after a word of letters (an apostrophe is not: it can begin a contraction).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, as the library's
+    plain ``encode(text, add_special_tokens=False)`` gives them.
 
     A byte-level tokenizer never joins across a blank that a word follows: that
-    blank begins a new pre-token. So a text is cut there, every distinct piece
-    is encoded once by the library, and the ids are put together.
+    blank begins a new pre-token. So a text is cut there and at the tokenizer's
+    added tokens, every distinct piece is encoded once by the library, and the ids
+    are put together. Any other tokenizer encodes texts as they are.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-    def pieces(self, text: str) -> list[str]:
+        self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        before, added = told.get("pre_tokenizer") or {}, told.get("added_tokens") or []
+        self.by_pieces = (
+            told.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+            and before.get("use_regex", True) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added))
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        names = sorted(self.added, key=len, reverse=True)
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, names)) + ")").split if names else None
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        """A new generation: what is still in use comes over from the older one."""
+        self.older = (self.first, self.later, self.atoms) if hasattr(self, "first") else ({}, {}, {})
+        self.first: dict[str, bytes] = {}  # pieces as they are
+        self.later: dict[str, bytes] = {}  # words after a blank, without it
+        self.atoms: dict[str, bytes] = {}  # what words are made of
+        self.held = 0
+
+    def _keep(self, table: dict[str, bytes], found: dict[str, bytes]) -> None:
+        short = {x: i for x, i in found.items() if len(x) <= LONGEST}
+        table.update(short)
+        self.held += sum(ENTRY_BYTES + 2 * len(x) + len(i) for x, i in short.items())
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, text: str) -> list[tuple[bool, list[str]]]:
+        """The pieces of a text between added tokens: (as they are, pieces)."""
         if _ODD_BLANK.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
+            return [(True, _CUT.split(text))]
+        head, *rest = text.split(" ")
+        return [(True, [head]), (False, rest)]
+
+    def _atoms_of(self, piece: str, blank: str) -> list[str]:
+        """A piece cut where the pre-tokenizer cuts it for certain: around single
+        line feeds, and between letters and the marks after them."""
+        lines = piece.split("\n")
+        if not all(lines) or any(x[-1].isspace() or y[0].isspace() for x, y in zip(lines, lines[1:])):
+            return [blank + piece]
+        atoms = []
+        for i, line in enumerate(lines):
+            if i:
+                atoms.append("\n")
+            word = line.rstrip(_MARKS)
+            before = "" if i else blank
+            if word != line and word.isalpha():
+                atoms += [before + word, line[len(word):]]
+            else:
+                atoms.append(before + line)
+        return atoms
+
+    def _learn(self, later: bool, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not known."""
+        old, old_atoms = self.older[later], self.older[2]
+        found = {x: old[x] for x in pieces if x in old}
+        made = {x: self._atoms_of(x, " " if later else "") for x in pieces if x not in found}
+        missing = {a for atoms in made.values() for a in atoms}.difference(self.atoms)
+        atoms = {a: old_atoms[a] for a in missing if a in old_atoms}
+        new = list(missing.difference(atoms))
+        atoms.update(zip(new, self._encoded(new), strict=True))
+        for x, parts in made.items():
+            found[x] = b"".join([atoms[a] if a in atoms else self.atoms[a] for a in parts])
+        self._keep(self.atoms, atoms)
+        self._keep(self.later if later else self.first, found)
+        return found
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text; a null text has none."""
+        if not self.by_pieces:
+            return self._encoded([t or "" for t in texts])
+        if self.held > MEMORY_BYTES:
+            self._start_anew()
+        cut = []
+        new: list[set[str]] = [set(), set()]
+        for text in texts:
+            runs: list = []
+            parts = [text or ""]
+            if self.cut_added and any(name in parts[0] for name in self.added):
+                parts = self.cut_added(parts[0])
+            for i, part in enumerate(parts):
+                if i % 2:
+                    runs.append(self.added[part])
+                elif part:
+                    for plain, pieces in self._runs(part):
+                        runs.append((plain, pieces))
+                        new[not plain].update(pieces)
+            cut.append(runs)
+        tables = []
+        for later, known in enumerate((self.first, self.later)):
+            found = self._learn(bool(later), new[later].difference(known))
+            long = {x: i for x, i in found.items() if len(x) > LONGEST}
+            tables.append(known.__getitem__ if not long else (lambda x, k=known, n=long: k[x] if x in k else n[x]))
+        return [b"".join([r if isinstance(r, bytes) else b"".join(map(tables[not r[0]], r[1])) for r in runs]) for runs in cut]
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        pieces = self.pieces(text)
-        known = self.known
-        new = [x for x in dict.fromkeys(pieces) if x not in known]
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[x] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        return self.batch([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -59,35 +146,33 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+_compress, _decompress = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
 def packed(ids: np.ndarray) -> bytes:
     """Ids compressed for a written table: two bytes each where they fit."""
     wide = ids.size and int(ids.max()) > 0xFFFF
     raw = ids.astype("<u4" if wide else "<u2").tobytes()
-    return (b"4" if wide else b"2") + zstandard.ZstdCompressor(level=1).compress(raw)
+    return (b"4" if wide else b"2") + _compress(raw)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data[1:])
+    raw = _decompress(data[1:])
     return np.frombuffer(raw, "<u4" if data[:1] == b"4" else "<u2").astype("<u4")
 
 
 def _encode(batches, path: str, end: int, extra) -> Iterator[pa.RecordBatch]:
-    encode = _encoder(path)
+    encoder = _encoder(path)
     tail = np.array([end], "<u4").tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sizes, ids, more = [], [], []
-            for text in part.column("text"):
-                found = np.frombuffer(encode(text.as_py()) + tail, "<u4")
-                sizes.append(found.size)
-                ids.append(packed(found))
-                if extra:
-                    more.append(extra(found))
-            columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            found = [np.frombuffer(ids + tail, "<u4") for ids in encoder.batch(part.column("text").to_pylist())]
+            columns = [part.column("doc_id"), pa.array([x.size for x in found], pa.int64()),
+                       pa.array(map(packed, found), pa.binary())]
             names = ["doc_id", "n_tokens", "ids"]
             if extra:
-                columns.append(pa.array(more, pa.list_(pa.float32())))
+                columns.append(pa.array(map(extra, found), pa.list_(pa.float32())))
                 names.append("vector")
             yield pa.RecordBatch.from_arrays(columns, names)
 

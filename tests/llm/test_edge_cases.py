@@ -34,6 +34,7 @@ TEXTS = [
     "l'été où # * $ % & | < > é" * 30,
     "released under the mlt license here", "  double  blanks   and\ttabs \n\n here  ",
     "😀 emoji and 　 wide space 中文 文本",
+    "end <|endoftext|> start", "  <|endoftext|>  <|endoftext|><|endoftext|>\n x<|endoftext|>y ",
 ]
 
 
@@ -120,7 +121,6 @@ def test_quality_base_columns(spark, odd):
 
 def token_ids(texts, end):
     library = Tokenizer.from_file(tokenizer_path(queries.TOKENIZER))
-    library.encode_special_tokens = True
     return [np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]
 
 
