@@ -16,24 +16,32 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: Short notices that are searched with edits; words are joined by single blanks.
+#: Short notices that are searched with edits: (words joined by single blanks, label,
+#: the words that name the license).
 NOTICES = (
-    ("released under the mit license", "mit"),
-    ("licensed under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2"),
-    ("you may not use this file except in compliance with the license", "apache-2"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("creative commons attribution noncommercial", "cc-by-nc"),
-    ("licensed under the gnu general public license version 3", "gpl-3"),
-    ("licensed under the gnu general public license version 2", "gpl-2"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("licensed under the mozilla public license version 2 0", "mpl-2"),
-    ("spdx license identifier mit", "mit"),
-    ("spdx license identifier apache 2 0", "apache-2"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
-    ("creative commons attribution sharealike", "cc-by-sa"),
+    ("released under the mit license", "mit", ("mit",)),
+    ("licensed under the mit license", "mit", ("mit",)),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", ()),
+    ("licensed under the apache license version 2 0", "apache-2", ("apache", "2")),
+    ("you may not use this file except in compliance with the license", "apache-2", ()),
+    ("licensed under cc by nc 4 0", "cc-by-nc", ("cc", "by", "nc")),
+    ("licensed under cc by sa 4 0", "cc-by-sa", ("cc", "by", "sa")),
+    ("creative commons attribution noncommercial", "cc-by-nc", ("noncommercial",)),
+    ("creative commons attribution sharealike", "cc-by-sa", ("sharealike",)),
+    ("licensed under the gnu general public license version 3", "gpl-3", ("gnu", "general", "3")),
+    ("licensed under the gnu general public license version 2", "gpl-2", ("gnu", "general", "2")),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", ()),
+    ("licensed under the mozilla public license version 2 0", "mpl-2", ("mozilla", "2")),
+    ("spdx license identifier mit", "mit", ("mit",)),
+    ("spdx license identifier apache 2 0", "apache-2", ("apache", "2")),
+    ("this is free and unencumbered software released into the public domain", "unlicense", ()),
 )
+#: Words that name some license: none of them is a misspelling of another.
+NAMES = frozenset((
+    "mit", "apache", "bsd", "isc", "gnu", "gpl", "lgpl", "agpl", "mpl", "epl", "cpl", "cddl", "eupl", "wtf", "wtfpl", "zlib", "x11",
+    "boost", "mozilla", "eclipse", "artistic", "lesser", "affero", "general", "noncommercial", "noderivatives", "noderivs",
+    "sharealike", "commercial", "cc", "cc0", "by", "nc", "nd", "sa", "ms", "mpl2", "ofl", "ncsa", "pil", "php", "python",
+))
 #: Allowed edits (characters) per length of a notice.
 EDIT_SHARE = 0.1
 _WORD = regex.compile(rb"[0-9a-z\x80-\xff]+")
@@ -56,11 +64,40 @@ def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _near(word: str, name: str) -> bool:
+    """Whether ``word`` stands for ``name``: it is the name, or one edit per
+    three letters away from it and neither a number nor another name."""
+    if word == name:
+        return True
+    most = len(name) // 3
+    if not most or name.isdigit() or word.isdigit() or word in NAMES or abs(len(word) - len(name)) > most:
+        return False
+    row = list(range(len(name) + 1))
+    for i, c in enumerate(word, 1):
+        before, row[0] = row[0], i
+        for j, d in enumerate(name, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+    return row[-1] <= most
+
+
+def names_stand(text: str, start: int, end: int, names: Sequence[str]) -> bool:
+    """Whether the words of a match have the names in their order."""
+    start = text.rfind(" ", 0, start + 1) + 1
+    after = text.find(" ", max(start, end - 1))
+    words = iter(text[start:after if after >= 0 else len(text)].split())
+    return all(any(_near(word, name) for word in words) for name in names)
+
+
 class Scanner:
-    """Finds notices with edits in text whose words are joined by blanks."""
+    """Finds notices with edits in text whose words are joined by blanks.
 
-    def __init__(self, notices: Sequence[tuple[str, str]], share: float):
-        self.notices = [(notice, label, int(len(notice) * share)) for notice, label in notices]
+    Edits may fall on any word of a notice but those that name the license: a
+    match counts only if they stand in it (``names_stand``)."""
+
+    def __init__(self, notices: Sequence[tuple[str, str, Sequence[str]]], share: float):
+        self.names = [tuple(names) for _, _, names in notices]
+        self.notices = [(notice, label, int(len(notice) * share)) for notice, label, _ in notices]
+        self.reach = max((len(n) + e for n, _, e in self.notices), default=0)
         self.patterns = [regex.compile(f"(?be)(?:{regex.escape(n)}){{e<={e}}}") for n, _, e in self.notices]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (notice, _, edits) in enumerate(self.notices):
@@ -99,20 +136,21 @@ class Scanner:
             notice, label, _ = self.notices[k]
             for low, high in _merged(spans):
                 for m in self.patterns[k].finditer(text, low, high):
-                    out.append((label, notice, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return sorted(_fewest_edits(out), key=lambda x: (x[2], x[3], x[1]))
+                    if names_stand(text, m.start(), m.end(), self.names[k]):
+                        out.append((label, notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+        return sorted(_fewest_edits(out, self.reach), key=lambda x: (x[2], x[3], x[1]))
 
 
-def _fewest_edits(matches: list[tuple]) -> list[tuple]:
-    """Without matches that overlap one with fewer edits, as of another version of the license."""
+def _fewest_edits(matches: list[tuple], reach: int) -> list[tuple]:
+    """Without matches that overlap one with fewer edits, as of another version of
+    the license; no match is longer than ``reach``."""
     kept: list[tuple] = []
     matches = sorted(matches, key=lambda m: m[2])
     for i, m in enumerate(matches):
         beaten = False
         for step in (-1, 1):
             j = i + step
-            # notices are short, so only close neighbours by start can overlap
-            while 0 <= j < len(matches) and abs(matches[j][2] - m[2]) <= 200 and not beaten:
+            while 0 <= j < len(matches) and abs(matches[j][2] - m[2]) <= reach and not beaten:
                 o = matches[j]
                 beaten = o[4] < m[4] and o[2] < m[3] and m[2] < o[3]
                 j += step
@@ -178,13 +216,22 @@ def _scan(batches, phrases, notices, share: float) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"])
 
 
+def notice_table(table: DataFrame, most: int = 10_000) -> tuple:
+    """Notices from a table (notice, label, names array<string>); more than ``most`` are refused."""
+    rows = table.select("notice", "label", F.coalesce("names", F.array().cast("array<string>")).alias("names")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} notices")
+    return tuple((" ".join(w.decode("utf-8", "surrogatepass") for w in normalized(r["notice"])), r["label"], tuple(r["names"])) for r in rows)
+
+
 def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, share: float = EDIT_SHARE,
                   id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: exact phrase places and labels, labels with edits, spans.
 
     Words are runs of digits, letters and non-ASCII characters of the lower-cased
     (A-Z) whole text. ``n_base`` counts all places of the phrases; ``labels`` adds
-    those of notices found with at most ``share`` edits per character. ``matches``
+    those of notices found with at most ``share`` edits per character, whose
+    naming words stand in the text. Texts of any length are read whole. ``matches``
     has the spans (characters in the words joined by blanks, after a leading
     blank) and their edits; a match is left out where one with fewer edits overlaps it. ``score`` is 1 for an exact phrase, else the best
     share of a notice left unedited, else 0. Null, empty and word-less texts have
