@@ -50,29 +50,78 @@ def _node(url: Column, host: Column) -> Column:
     return F.concat(host, F.regexp_replace(tail, r"[?&]$", ""))
 
 
-def _target(link: Column, url: Column) -> Column:
-    """An absolute address for a link found in a page; other relative forms give null."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    site = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
-    return (F.when(link.contains("://"), link)
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    size = F.size(parts)
+
+    def step(kept: Column, i: Column) -> Column:
+        part = F.get(parts, i)
+        last = i == size - 1
+        up = F.slice(kept, F.lit(1), F.greatest(F.lit(1), F.size(kept) - 1))  # the empty part before the first slash stays
+        end = F.when(last, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.when(part == "..", F.concat(up, end)).when(part == ".", F.concat(kept, end)).otherwise(F.concat(kept, F.array(part)))
+
+    folded = F.aggregate(F.sequence(F.lit(0), size - 1), F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.array_join(folded, "/")).otherwise(path)
+
+
+def _target(link: Column, base: Column) -> Column:
+    """The address that a link means on a page of address ``base``; null for
+    other schemes than those with ``://``, and for a place on the page itself."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^.*/", 0))
+    own = F.regexp_extract(link, r"^[^?#]*", 0)
+    rest = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    return (F.when((link == "") | link.startswith("#"), F.lit(None))
+            .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+            .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(site, link)))
+            .when(link.startswith("/"), F.concat(site, _without_dots(own), rest))
+            .when(link.startswith("?"), F.concat(site, path, link))
+            .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), rest)))
 
 
-#: rel=canonical links and meta refreshes of a page; the address is the last group.
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'\s>]+)"
+#: What is no markup of the page, and the tags that can name another address.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript|textarea|title)\b.*?(?:</\1\s*>|\z)"
+TAG = r"(?is)<(?:link|meta|base)(?=[\s/])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+#: Character references that addresses are written with.
+REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"),
+              ("&#38;", "&"), ("&#x26;", "&"), ("&#038;", "&"), ("&amp;", "&"))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, quoted or not, with references resolved; '' without one."""
+    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    for written_as, meant in REFERENCES:
+        value = F.replace(value, F.lit(written_as), F.lit(meant))
+    return F.trim(F.regexp_replace(value, r"[\t\r\n]", ""))
 
 
 def page_links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(source, target) addresses from canonical links and meta refreshes."""
+    """(source, target) addresses from all canonical links and meta refreshes of a page.
+
+    ``rel`` is a list of words; relative addresses are resolved against the
+    page or its ``<base>``; comments, scripts and other raw text are no markup.
+    """
     text, at = F.coalesce(F.col(html).cast("string"), F.lit("")), F.col(url).cast("string")
     # the cheap test keeps pages without such an element away from the patterns
     may = F.lower(text).rlike(r"canonical|http-equiv")
-    found = pages.where(may & at.isNotNull()).select(
-        at.alias("source"),
-        F.explode(F.array(F.regexp_extract(text, CANONICAL, 1), F.regexp_extract(text, REFRESH, 1))).alias("link"))
-    return found.where("link <> ''").select("source", _target(F.col("link"), F.col("source")).alias("target"))
+    tags = pages.where(may & at.contains("://")).select(
+        at.alias("source"), F.regexp_extract_all(F.regexp_replace(text, HIDDEN, " "), F.lit(TAG), F.lit(0)).alias("tags"))
+    of = lambda name: F.filter("tags", lambda t: F.lower(F.substring(t, 2, len(name))) == name)
+    base = F.get(F.filter(F.transform(of("base"), lambda t: _attribute(t, "href")), lambda h: h != ""), F.lit(0))
+    words = lambda t: F.split(F.lower(_attribute(t, "rel")), r"\s+")
+    canonical = F.transform(F.filter(of("link"), lambda t: F.array_contains(words(t), F.lit("canonical"))), lambda t: _attribute(t, "href"))
+    refresh = F.transform(
+        F.filter(of("meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"),
+        lambda t: F.trim(F.regexp_extract(_attribute(t, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"']*)", 1)))
+    found = tags.select("source", F.coalesce(_target(base, F.col("source")), "source").alias("base"),
+                        F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("link"))
+    return found.select("source", _target(F.col("link"), F.col("base")).alias("target")).where("target is not null")
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None,
@@ -81,8 +130,8 @@ def judge_pages(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame |
 
     The longest fitting rule decides. Pages without one take the decision of
     their aliases: the pages reached over redirects (``redirects``: source and
-    target addresses, if given), canonical links and meta refreshes, in any
-    direction and over any number of hops. An address is compared without
+    target addresses, if given), all canonical links and meta refreshes of a
+    page (see ``page_links``), in any direction and over any number of hops. An address is compared without
     scheme, fragment and utm_ parameters, so such variants are aliases as well.
     Among aliases an explicit allow outweighs every block; without any decision
     the page is allowed. Addresses that no page has still count as aliases and
