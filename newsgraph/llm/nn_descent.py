@@ -31,15 +31,30 @@ ENTRIES = 256        # entry nodes; a bounded table
 BITS = 16            # sign bits of a random order
 
 
+#: Nearness of what is no neighbour at all.
+FAR = -1e30
+
+
 def _codes(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors as signed bytes, each scaled by its largest component."""
-    top = np.abs(vectors).max(1, keepdims=True)
-    return np.rint(vectors / top * 127).astype(np.int8)
+    """Unit vectors in single precision."""
+    x = vectors / np.abs(vectors).max(1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
 def _units(codes: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.frombuffer(b"".join(codes), np.float32).reshape(len(codes), -1).astype(np.float64)
+
+
+def _nearness(x: np.ndarray) -> np.ndarray:
+    """Minus the squared distance of all rows from each other, the diagonal FAR.
+
+    It orders as the cosine does, but of near copies the cosine has only the last
+    digits; around their mean the differences keep theirs."""
+    x = x - x.mean(0)
+    square = (x * x).sum(1)
+    near = np.minimum(2 * (x @ x.T) - square[:, None] - square[None], 0)
+    np.fill_diagonal(near, FAR)
+    return near
 
 
 def _coded(batches) -> Iterator[pa.RecordBatch]:
@@ -90,8 +105,7 @@ def _nearest_in_block(batches, degree: int) -> Iterator[pa.RecordBatch]:
             if ids.size < 2:
                 continue
             x = _units(group.field("code").to_pylist())
-            sims = x @ x.T
-            np.fill_diagonal(sims, -2)
+            sims = _nearness(x)
             k = min(degree, ids.size - 1)
             best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             yield pa.RecordBatch.from_arrays([
@@ -111,8 +125,7 @@ def _proposed(batches, proposals: int) -> Iterator[pa.RecordBatch]:
             if k < 1:
                 continue
             x = _units(group.field("code").to_pylist())
-            sims = x @ x.T
-            np.fill_diagonal(sims, -2)
+            sims = _nearness(x)
             best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             value = np.take_along_axis(sims, best, 1)
             good = value > group.field("worst").to_numpy()[:, None]
@@ -150,13 +163,13 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, reverse: int = REVERSE,
     count = graph.df.count()
     for _ in range(rounds):
         worst = graph.df.groupBy("u").agg(
-            F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
+            F.when(F.count("*") >= degree, F.min("sim")).otherwise(F.lit(FAR).cast("float")).alias("worst"))
         back = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
         backward = graph.df.withColumn("back", back).where(F.col("back") <= reverse).select(
             F.col("v").alias("center"), F.col("u").alias("node"))
         around = graph.df.select(F.col("u").alias("center"), F.col("v").alias("node")).union(backward).distinct()
         known = nodes.join(worst.withColumnRenamed("u", "node"), "node", "left").select(
-            "node", "code", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+            "node", "code", F.coalesce("worst", F.lit(FAR).cast("float")).alias("worst"))
         # a node has at most degree + reverse neighbours here
         groups = around.join(known, "node").groupBy("center").agg(
             F.collect_list(F.struct("node", "code", "worst")).alias("members"))
@@ -177,7 +190,7 @@ def _scored(batches) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             a, b = (_units(batch.column(c).to_pylist()) for c in ("query_code", "code"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("query"), batch.column("node"), pa.array(np.einsum("ij,ij->i", a, b).astype(np.float32))],
+                [batch.column("query"), batch.column("node"), pa.array((-((a - b) ** 2).sum(1)).astype(np.float32))],
                 ["query", "node", "sim"])
 
 
@@ -185,8 +198,8 @@ def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: i
                  entries: int = ENTRIES, reverse: int = REVERSE) -> DataFrame:
     """(query, node, sim): the nodes a greedy search ends with, ``beam`` per query.
 
-    ``queries``: (query, code). A search starts at the entry nodes nearest to the
-    query and at a node equal to it. A step expands the ``expand`` best of the
+    ``queries``: (query, code, own). A search starts at the entry nodes nearest to
+    the query and at its own node. A step expands the ``expand`` best of the
     beam that are not expanded yet; it ends when the whole beam is.
     """
     back = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
@@ -199,7 +212,7 @@ def search_graph(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: i
     doors = nodes.select("node", "code").orderBy(F.xxhash64("node"), "node").limit(entries)
     # a stated, bounded set of entries against all queries
     seen = queries.select("query", F.col("code").alias("query_code")).join(F.broadcast(doors)).mapInArrow(_scored, schema)
-    own = queries.join(nodes, "code").select("query", "node", F.lit(1.0).cast("float").alias("sim"))
+    own = queries.select("query", F.col("own").alias("node"), F.lit(0.0).cast("float").alias("sim"))
     first = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
     state = Written(seen.union(own).groupBy("query", "node").agg(F.max("sim").alias("sim")).withColumn(
         "rank", F.row_number().over(first)).where("rank <= 8").select("query", "node", "sim", F.lit(False).alias("done")), "beam")
@@ -224,6 +237,8 @@ def _exact(batches) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             n = batch.num_rows
             a, b = (np.array(batch.column(c).to_pylist(), np.float64).reshape(n, -1) for c in ("query_vector", "vector"))
+            # only components whose squares leave the range of doubles are scaled
+            a, b = (np.where((t := np.abs(x).max(1, keepdims=True)) > 1e150, x / t, np.where(t < 1e-150, x / t, x)) for x in (a, b))
             score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(score)],
                                              ["query", "node", "score"])
@@ -236,8 +251,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_colum
     smaller id.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
-    take no part, nor do those whose length differs from that of the smallest
-    valid id, nor rows with a null id. Rows equal in id and vector count once. A
+    take no part, nor do those whose length differs from the commonest one
+    (ties: the smaller), nor rows with a null id. Rows equal in id and vector count once. A
     row is represented by its node; of equal vectors only the k + 1 smallest ids
     can be among anyone's k nearest. Other columns are ignored. Scores are exact;
     the search is approximate (recall against brute force: see the README).
@@ -246,8 +261,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_colum
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector")).where(
         F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
-    lengths = rows.agg(F.min_by(F.size("vector"), "id")).first()[0]
-    rows = rows.where(F.size("vector") == F.lit(lengths if lengths is not None else -1))
+    lengths = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").first()
+    rows = rows.where(F.size("vector") == F.lit(lengths["length"] if lengths else -1))
     # bit-equal vectors: hashed first, so that long arrays are compared within a hash only
     same = Window.partitionBy("hash", "vector").orderBy("id")
     members = written(
@@ -257,8 +272,11 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_colum
     nodes = written(heads.select("node", "vector").mapInArrow(_coded, "node long, code binary"), "nodes")
     queries = written(rows.where(F.col("id") % every == 0).select(
         F.col("id").alias("query"), F.col("vector").alias("query_vector")).dropDuplicates(["query"]), "queries")
-    coded = written(queries.select(F.col("query").alias("node"), F.col("query_vector").alias("vector")).mapInArrow(
-        _coded, "node long, code binary").withColumnRenamed("node", "query"), "query_codes")
+    codes = queries.select(F.col("query").alias("node"), F.col("query_vector").alias("vector")).mapInArrow(
+        _coded, "node long, code binary").withColumnRenamed("node", "query")
+    node_of = queries.withColumn("hash", F.xxhash64("query_vector")).join(heads, "hash").where(
+        F.col("query_vector") == F.col("vector")).select("query", F.col("node").alias("own"))
+    coded = written(codes.join(node_of, "query"), "query_codes")
     graph = build_graph(nodes, **graph_options)
     found = search_graph(coded, nodes, graph)
     near = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "node"))
