@@ -21,7 +21,8 @@ LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 32 << 20
 #: Index rows of one merge task.
 MERGE_ROWS = 200_000
-DATE0 = "2024-01-01T00:00:00Z"
+#: Without a column for it a capture's time is this many seconds after 2024 began, by its id.
+SECONDS = 10 * 365 * 86_400
 
 CAPTURE = ("page_id long, url_key string, captured_at timestamp, file string, file_offset long, file_length long, "
            "record_type string, payload_digest string, run long")
@@ -42,7 +43,7 @@ def with_revisits(pages: DataFrame, least: int, id_column: str, url: str, html:
     page id with an equal payload of ``least`` bytes or more, if it is another."""
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     at = captured_at if captured_at is not None else F.timestamp_seconds(
-        F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.coalesce(F.col(id_column).cast("long"), F.lit(0)))
+        F.lit(1_704_067_200) + F.pmod(F.coalesce(F.col(id_column).cast("long"), F.lit(0)), F.lit(SECONDS)))
     rows = pages.select(
         F.col(id_column).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("html"),
         F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"),
@@ -50,7 +51,15 @@ def with_revisits(pages: DataFrame, least: int, id_column: str, url: str, html:
     last = written(rows.where(F.col("bytes") >= least).groupBy("digest").agg(
         F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n"), "payloads")
     return rows.join(small(last, 80), "digest", "left").withColumn(
-        "refers_to", F.when(F.col("page_id") < F.col("last"), F.col("last"))).drop("last")
+        "refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last"))).drop("last")
+
+
+def file_system(target: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """(file system, path) for a folder as Spark names it."""
+    for spark, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "/dbfs/"), ("wasbs://", "abfss://")):
+        if target.startswith(spark):
+            target = arrow + target.removeprefix(spark)
+    return pyarrow.fs.FileSystem.from_uri(target)
 
 
 def _record(page: dict) -> bytes:
@@ -80,7 +89,7 @@ def _write(batches, target: str, run_bytes: int) -> Iterator[pa.RecordBatch]:
     A file is named by this attempt of the task alone; only the files of the
     attempt whose rows Spark keeps are in the index.
     """
-    fs, root = pyarrow.fs.FileSystem.from_uri(target)
+    fs, root = file_system(target)
     fs.create_dir(root, recursive=True)
     task, n = TaskContext.get(), 0
     stream = None
@@ -149,7 +158,7 @@ def _parsed(data: bytes, name: str) -> tuple:
 
 
 def _read(batches, target: str) -> Iterator[pa.RecordBatch]:
-    fs, root = pyarrow.fs.FileSystem.from_uri(target)
+    fs, root = file_system(target)
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
     opened, stream = None, None
     for batch in batches:
@@ -273,7 +282,7 @@ def archive_round_trip(pages: DataFrame, target: str, **options) -> DataFrame:
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, url_key,
     position, history_no. A null html is an empty payload, a null url has a null
-    key, a null page id never refers elsewhere. Rows with equal payloads and the
+    key, a null page id refers to the largest id of its payload if there is one. Rows with equal payloads and the
     same largest id are all responses. Repeated rows have a record each. Other
     columns are ignored.
     """
