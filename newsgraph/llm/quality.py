@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newsgraph.llm.common import BLANKS, words_of, written
+from newsgraph.llm.common import BLANKS, small, words_of, written
 
 #: Rejects beyond the 1 - 1e-10 quantile of the chi-square distribution with 3 degrees of freedom.
 CUTOFF = 50.0
@@ -158,7 +158,8 @@ def mcd_distances(vectors: DataFrame, support: float = SUPPORT, steps: int = STE
             "below", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("below") < F.ceil(F.col("all") * support))
         now = written(_estimate(inside.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in names])), "estimates")
     best = now.groupBy("grp").agg(F.min_by(F.struct(*[c for c in now.columns if c != "grp"]), F.struct("det", "start")).alias("e"))
-    best = best.select("grp", "e.*").drop("start", "det")
+    # one row per group: written, so that its size decides how it meets the documents
+    best = small(written(best.select("grp", "e.*").drop("start", "det"), "best"), 200)
     kept = [c for c in vectors.columns if c != "grp"]
     return _distance(vectors.join(best, "grp")).select("grp", *kept, "d2")
 
