@@ -22,7 +22,7 @@ from newsgraph.operators.lookups import (
     with_existence,
 )
 from newsgraph.operators.numbering import dense_numbers
-from newsgraph.sinks.changelog import drop_old_logs, write_log
+from newsgraph.sinks.changelog import KEEP_DAYS, drop_old_logs, log_written, write_log
 from newsgraph.sinks.store import Load, StarStore
 from newsgraph.staging import scope, stage, stage_counted
 
@@ -180,6 +180,7 @@ def load_records(
     counted in its log row.
     """
     load = store.begin()
+    _finish_log(load, (now or dt.datetime.now(dt.timezone.utc)).date())
     if load.done_before(source, source_batch):
         return LoadResult(load.manifest["version"], 0, {}, skipped=True)
     spark = store.spark
@@ -204,15 +205,28 @@ def load_records(
         if rejects is not None:
             load.add("feed_reject", rejects.withColumn("run_no", F.lit(load.version).cast("bigint")))
         _log_run(load, source, source_batch, started, now, count)
+        logged = log_root and load.rows.get("journalist")
+        # only people who are stored are logged: the commit names the log, and a
+        # load that ends before it is written leaves it to the next one
+        load.manifest["log"] = {"root": log_root, "day": started.date().isoformat(), "version": load.version} if logged else None
         load.commit(source, source_batch)
-        # only people who are stored are logged
-        if log_root and load.rows.get("journalist"):
+        if logged:
             write_log(inserted, log_root, started.date(), load.version)
         if log_root:
             drop_old_logs(spark, log_root, started.date())
     return LoadResult(load.version, count, dict(load.rows))
 
 
+def _finish_log(load: Load, today: dt.date) -> None:
+    """Write the log of the last commit if that load did not come to it."""
+    pending = load.manifest.get("log")
+    if not pending or dt.date.fromisoformat(pending["day"]) < today - dt.timedelta(days=KEEP_DAYS):
+        return
+    day = dt.date.fromisoformat(pending["day"])
+    if not log_written(load.store.spark, pending["root"], day, pending["version"]):
+        write_log(load.store.rows_of_version("journalist", pending["version"], load.manifest), pending["root"], day, pending["version"])
+
+
 def _log_run(load: Load, source, source_batch, started, now, count: int) -> None:
     """One run-log row: counts only, never addresses."""
     ended = now or dt.datetime.now(dt.timezone.utc)

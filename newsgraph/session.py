@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 from newsgraph.sinks.key_layout import PUSHED_KEYS
@@ -30,4 +34,21 @@ def build(app: str = "newsgraph", master: str | None = None, **conf: str) -> Spa
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> str:
+    """Give the Python workers of all executors this package; returns its archive.
+
+    Functions that run in tasks are found by name there. A job that does not use
+    ``build`` calls this itself, or passes the archive as ``--py-files``.
+    """
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="newsgraph-ship-")) / "newsgraph.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    return str(target)

@@ -19,12 +19,22 @@ def log_layout(journalists: DataFrame) -> DataFrame:
     return reorder(journalists, LOG_FIRST, LOG_REMOVED)
 
 
+def log_folder(root: str, day: dt.date, batch: int | str) -> str:
+    return f"{root.rstrip('/')}/log_date={day.isoformat()}/batch={batch}"
+
+
+def log_written(spark: SparkSession, root: str, day: dt.date, batch: int | str) -> bool:
+    """Whether the log of a batch was written to its end."""
+    fs, done = hadoop_fs(spark, f"{log_folder(root, day, batch)}/_SUCCESS")
+    return fs.exists(done)
+
+
 def write_log(journalists: DataFrame, root: str, day: dt.date, batch: int | str) -> str:
     """Write the rows quoted, with a header, to a folder of their own.
 
     A batch that is written again replaces its own folder and nothing else.
     """
-    path = f"{root.rstrip('/')}/log_date={day.isoformat()}/batch={batch}"
+    path = log_folder(root, day, batch)
     rows = log_layout(journalists)
     text = rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns))
     (

@@ -23,6 +23,10 @@ from newsgraph.staging import hadoop_fs
 _EMPTY = {"version": 0, "segments": {}, "highest": {}, "sources": {}}
 
 
+def _version_folder(table: str, version: int) -> str:
+    return f"{table}/seg-{version:012d}"
+
+
 def mapped(df: DataFrame, schema: StructType, mapping: Sequence[str] | None = None) -> DataFrame:
     """Only the mapped columns, by name, in the layout of the target.
 
@@ -122,6 +126,11 @@ class StarStore:
         found = self._folders(table, ranged, hashes)
         return found.unionByName(self._folders(table, plain)) if plain else found
 
+    def rows_of_version(self, table: str, version: int, manifest: dict) -> DataFrame:
+        """The rows that one load has written to a table, before any compaction."""
+        begin = _version_folder(table, version)
+        return self._folders(table, [s["path"] for s in manifest["segments"].get(table, []) if s["path"].startswith(begin)])
+
     # -- writing ---------------------------------------------------------
     def begin(self) -> "Load":
         return Load(self, self.manifest())
@@ -232,15 +241,14 @@ class Load:
 
     def _folder(self, table: str) -> str:
         """The first folder of this load's rows of a table; further ones have a number more."""
-        return f"{table}/seg-{self.version:012d}"
+        return _version_folder(table, self.version)
 
     def _segments(self, table: str) -> list:
         return self.manifest["segments"].setdefault(table, [])
 
     def added(self, table: str) -> DataFrame:
         """The rows this load has written so far to one table."""
-        return self.store._folders(
-            table, [s["path"] for s in self._segments(table) if s["path"].startswith(self._folder(table))])
+        return self.store.rows_of_version(table, self.version, self.manifest)
 
     def commit(self, source: str | None = None, batch: int | None = None) -> int:
         self.manifest["version"] = self.version

@@ -188,3 +188,38 @@ def test_mapped_columns(spark):
     got = mapped(df, JOURNALIST, ["name", "email"])
     assert got.schema == JOURNALIST.jsonValue() or got.columns == JOURNALIST.fieldNames()
     assert got.first()["journalist_id"] is None and got.first()["name"] == "n"
+
+
+def test_log_lost_between_commit_and_write_is_written_by_the_replay(spark, tmp_path, monkeypatch):
+    """The load is committed, its log is not written: the replay is skipped and writes the log."""
+    from newsgraph.plans import load as plan
+    from newsgraph.sinks.changelog import log_written, read_log
+
+    store, root = StarStore(spark, str(tmp_path / "s")), str(tmp_path / "log")
+    now = dt.datetime(2024, 1, 8, tzinfo=dt.timezone.utc)
+    records = spark.createDataFrame(
+        [("A", "a@x", "t1", "f", 0), ("B", "b@x", "t2", "f", 1)], "name string, email string, article_title string, feed string, pos long")
+    for c in ("designation", "state", "country", "media_link", "linkedin_url", "website", "association", "about_info",
+              "article_link", "sub_beat_topic"):
+        records = records.withColumn(c, F.lit(None).cast("string"))
+    records = records.withColumn("publication_date", F.lit(None).cast("timestamp")).withColumn("beat_id", F.lit(0))
+    options = dict(source="s", source_batch=1, log_root=root, now=now)
+
+    def lost(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plan, "write_log", lost)
+        with pytest.raises(OSError):
+            load_records(store, records, **options)
+    assert store.read("journalist").count() == 2 and not log_written(spark, root, now.date(), 1)
+    assert load_records(store, records, **options).skipped
+    assert sorted(r["email"] for r in read_log(spark, root).collect()) == ["a@x", "b@x"]
+    # a log that retention has removed since is not written again
+    store2 = StarStore(spark, str(tmp_path / "s2"))
+    with monkeypatch.context() as patch:
+        patch.setattr(plan, "write_log", lost)
+        with pytest.raises(OSError):
+            load_records(store2, records, **{**options, "log_root": root + "2"})
+    load_records(store2, records, **{**options, "log_root": root + "2", "now": now + dt.timedelta(days=9)})
+    assert not log_written(spark, root + "2", now.date(), 1)

@@ -40,7 +40,9 @@ CASES = {
         ("2016-13-05 10:00:00", None), (" 2016-12-05 10:00:00", None),
     ]),
     "feed date": (lambda c: F.date_format(dates.feed_timestamp(c), "yyyyMMddHHmmss"), [
-        ("Mon, 05 Dec 2016 10:00:00 GMT", "20161205100000"), ("bad", None),
+        ("Mon, 05 Dec 2016 10:00:00 GMT", "20161205100000"), ("bad", None), ("a|b|c|d|e|f", None),
+        ("5 Dec 16 9:05", "20161205090500"), ("05 December 2016 10:00 CEST", None), ("05 Dec 2016 10:00 +0130", "20161205083000"),
+        ("Tue, 6 Dec 1999 23:59:59 est", "19991207045959"), ("32 Dec 2016 10:00", None), (None, None), ("", None),
     ]),
     "int": (dates.to_int, [("12", 12), ("x", None), ("", None)]),
 }
