@@ -43,8 +43,11 @@ from newsgraph.llm.shingles import mix, shingle_set
 BLOCK = 512
 #: Buckets of the count sketch, whose distance bounds the set distance from below.
 SKETCH = 256
-#: Sets per band whose keys the cost plan looks at, and the index rows that a candidate counts for.
-SAMPLE, CANDIDATE_ROWS = 512, 20
+#: Sets per band whose keys the cost plan looks at, and the index rows that meeting a set counts
+#: for (a comparison of two sketches inside a task takes about as long as a row on its way there).
+SAMPLE, CANDIDATE_ROWS = 512, 1
+#: Bands below this one are planned.
+PLANNED = 8
 #: Times that sets without partners leave and the rest is counted again.
 ROUNDS = 2
 #: Classes a task remembers, so that copies in it give their keys once.
@@ -135,40 +138,53 @@ def _index(batches, width: int, threshold: int, plan: dict[int, bool], text: str
 
 
 def _both_ways(batches, width: int, threshold: int, text: str) -> Iterator[pa.RecordBatch]:
-    """(band, deletions, sig) of sampled sets under either way of indexing."""
+    """(band, deletions, class, n, segment, sig) of sampled sets under either way of indexing."""
     for batch in batches:
         for value in batch.column(text):
             tokens = shingle_set(value.as_py(), width)
             if not _slack(tokens.size, threshold):
                 continue
-            band = _band(tokens.size, threshold)
+            band, key = _band(tokens.size, threshold), _key(tokens, 11)
             for deletions in (False, True):
-                keys, _ = segment_keys(tokens, band, deletions)
-                keys = np.unique(keys)
+                keys, segments = segment_keys(tokens, band, deletions)
+                n = keys.size
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(keys.size, band, np.int32)), pa.array(np.full(keys.size, deletions)), pa.array(keys),
-                ], ["band", "deletions", "sig"])
+                    pa.array(np.full(n, band, np.int32)), pa.array(np.full(n, deletions)), pa.array(np.full(n, key)),
+                    pa.array(np.full(n, tokens.size)), pa.array(segments.astype(np.int32)), pa.array(keys),
+                ], ["band", "deletions", "class", "n", "segment", "sig"])
 
 
 def plan_bands(source: DataFrame, classes: DataFrame, width: int, threshold: int) -> dict[int, bool]:
     """Per band: whether one-deletion neighbourhoods on half as many segments
-    cost less than plain subsets. Costs are index rows and the candidates that
-    the keys of ``SAMPLE`` sets of the band let expect of all its sets. The plan
-    changes the cost, not the result."""
+    cost less than plain subsets.
+
+    Costs are index rows, and the sets that a set meets on the shared segments
+    that it has to select, as the keys of ``SAMPLE`` sets of the band let expect
+    of all its sets. Bands from ``PLANNED`` on have plain subsets: a deletion per
+    token costs more than any selection there. The plan changes the cost, not
+    the result."""
     banded = classes.where(_slack_of(F.col("n"), threshold) > 0).withColumn("band", _band_of(F.col("n"), threshold))
+    banded = banded.where(F.col("band") < PLANNED)
     totals = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
     turn = F.row_number().over(Window.partitionBy("band").orderBy("class"))
-    # at most SAMPLE rows per band, and a band per doubling of the size
+    # at most SAMPLE rows per band below PLANNED
     chosen = F.broadcast(banded.withColumn("_turn", turn).where(F.col("_turn") <= SAMPLE).select("doc_id"))
     keys = source.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(
-        partial(_both_ways, width=width, threshold=threshold, text="text"), "band int, deletions boolean, sig long")
-    found = keys.groupBy("band", "deletions", "sig").agg(F.count("*").alias("c")).groupBy("band", "deletions").agg(
-        F.sum("c").alias("rows"), F.sum(F.expr("c * (c - 1) div 2")).alias("pairs")).collect()
-    cost = {}
-    for r in found:
-        sets, sample = totals.get(r["band"], 0), min(SAMPLE, totals.get(r["band"], 0)) or 1
-        cost[r["band"], r["deletions"]] = r["rows"] / sample + CANDIDATE_ROWS * r["pairs"] * sets / sample**2
-    return {b: cost[b, True] < cost[b, False] for b, deletions in cost if deletions and (b, False) in cost}
+        partial(_both_ways, width=width, threshold=threshold, text="text"),
+        "band int, deletions boolean, class long, n long, segment int, sig long")
+    way = ["band", "deletions"]
+    segments = keys.withColumn("meets", F.count("*").over(Window.partitionBy(*way, "sig")) - 1).groupBy(
+        *way, "class", "n", "segment").agg(F.count("*").alias("rows"), F.sum("meets").alias("meets"))
+    weight = F.when(F.col("deletions"), 2).otherwise(1)
+    shared = F.count_if(F.col("meets") > 0)
+    sets = segments.groupBy(*way, "class", "n").agg(
+        F.sum("rows").alias("rows"), shared.alias("shared"), F.sum("meets").alias("meets"))
+    total = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band") + 1)
+    need = _slack_of(F.col("n"), threshold) + 1 - (total - F.col("shared") * weight)
+    found = sets.withColumn("met", F.when(need > 0, need / weight * F.col("meets") / F.col("shared")).otherwise(0.0)).groupBy(
+        *way).agg(F.sum("rows").alias("rows"), F.sum("met").alias("met"), F.count("*").alias("sets")).collect()
+    cost = {(r["band"], r["deletions"]): (r["rows"] + CANDIDATE_ROWS * r["met"] * totals[r["band"]] / r["sets"]) / r["sets"] for r in found}
+    return {b: cost[b, True] < cost[b, False] for b, deletions in cost if deletions}
 
 
 def _slack_of(n: Column, threshold: int) -> Column:

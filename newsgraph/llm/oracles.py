@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from newsgraph.llm.personal_data import ADDED, BASE, CONTEXT, IBAN_LENGTHS, words_pattern
+from newsgraph.llm.warc_index import LEAST_REVISIT, SECONDS
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -75,6 +76,42 @@ SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN roo
 """
 
 
+WARC_INDEX = rf"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, regexp_replace(regexp_replace(url, '(?s)^.*?://', ''), '(?s)#.*$', '') AS rest FROM pages),
+d AS (SELECT *, sha1(payload) AS digest, strlen(payload) AS bytes, lower(regexp_extract(rest, '^[^/?]*')) AS host FROM p),
+k AS (
+  SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || regexp_replace(rest, '(?s)^[^/?]*', '') AS url_key,
+    CASE WHEN bytes >= {LEAST_REVISIT} THEN max(page_id) OVER (PARTITION BY digest, bytes) END AS last,
+    ((coalesce(page_id, 0) % {SECONDS}) + {SECONDS}) % {SECONDS} AS captured
+  FROM d),
+r AS (SELECT *, CASE WHEN page_id IS NULL OR page_id < last THEN last END AS refers_to FROM k)
+SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url_key,
+  row_number() OVER (ORDER BY url_key NULLS FIRST, captured, page_id NULLS FIRST) - 1 AS position,
+  row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id NULLS FIRST) AS history_no
+FROM r
+"""
+
+JACCARD_JOIN = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT d, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM docs),
+tokens AS MATERIALIZED (SELECT d, len(s) AS n, unnest(s) AS t FROM sets),
+links AS MATERIALIZED (
+  SELECT a.d AS a, b.d AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.d < b.d
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.d, b.d, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(d, other) AS (SELECT d, d FROM docs UNION SELECT r.d, e.b FROM reached r JOIN edges e ON e.a = r.other)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM sets s JOIN reached r ON r.d = s.d JOIN sets o ON o.d = r.other GROUP BY s.d, s.doc_id, s.s
+"""
+
+
 def _personal_data() -> str:
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda i:

@@ -117,6 +117,8 @@ QUERIES = {f.__name__: f for f in (
 
 #: SQL of the queries that SQL expresses.
 ORACLES: dict[str, str] = {
+    "op6_warc_index": oracles.WARC_INDEX,
+    "op10_jaccard_join": oracles.JACCARD_JOIN,
     "op11_source_divergence": oracles.SOURCE_DIVERGENCE,
     "op12_spelling_variants": oracles.SPELLING_VARIANTS,
     "op13_personal_data": oracles.PERSONAL_DATA,
