@@ -56,7 +56,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsgraph.llm.warc_index import archive_round_trip
 
-    return archive_round_trip(read_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return archive_round_trip(read_table(spark, sf_dir, "pages"), new_path(spark, "warc")).drop("captured_at")
 
 
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
