@@ -31,14 +31,24 @@ def _decided(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and blank texts have too few words and go; rows equal in id and
+    text are judged alike and stay or go together, rows that share an id only
+    are judged by their own text; null ids, languages and sources are values of
+    their own. Ties of the estimates cannot change what one row gets.
+    """
     judged = written(judged_quality(docs).where("not kept").select("doc_id", "text_key").distinct(), "rejected")
     return _decided(docs, judged, "left_anti").select(*COLUMNS)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id,
-    once; documents without words or id are in no group and stay."""
+    once; documents without words or id are in no group and stay.
+
+    Rows repeated with id and text are copies of each other. Of rows that share an
+    id but not a text all go if one of them is a duplicate of a smaller id.
+    """
     groups = near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
     gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
     once = docs.select(*COLUMNS).join(small(gone, 16), "doc_id", "left_anti")
@@ -52,7 +62,13 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it.
+
+    A document that the mix takes n times is n equal rows; texts without words
+    (null, empty, blank) are never taken. Rows equal in id and text share their
+    copies evenly, what is left over goes to the first by all columns. Ties of the
+    random keys are broken by id and text, so reruns agree.
+    """
     mix = written(mix_sources(docs, MIX_WEIGHTS).groupBy("doc_id", "text_key").agg(
         F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "mix")
     # rows equal in id and text share their copies evenly
@@ -66,7 +82,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences along the curve."""
+    """Pieces of token sequences along the curve, one row per piece.
+
+    Every row is packed, also repeated ones, null texts (the end id alone) and
+    null ids; ties of the curve's key go by id, equal rows in any order.
+    """
     return pack_along_curve(docs, tokenizer_path(TOKENIZER))
 
 
