@@ -10,8 +10,8 @@ selection of weight H + 1. Per band, costs decide between the subsets of all
 segments and deletions on half as many, from the keys of a bounded sample of its sets.
 
 Every set picks its own selection. Segments on which it shares a key with no other
-set cost nothing: a set that has H + 1 of these is alone and leaves, and what is
-left is counted again. The others add their cheapest segments. A linked pair
+set cost nothing: a set that has H + 1 of these is alone and leaves. The others
+add their cheapest segments, by the sets that are left. A linked pair
 meets in the selections of both its sets, so it is enough to look from the
 cheaper one: members of a large group of near copies that differ from it a little
 select the rare keys of their differences, not the keys that the group shares.
@@ -48,8 +48,6 @@ SKETCH = 256
 SAMPLE, CANDIDATE_ROWS = 512, 1
 #: Bands below this one are planned.
 PLANNED = 8
-#: Times that sets without partners leave and the rest is counted again.
-ROUNDS = 2
 #: Classes a task remembers, so that copies in it give their keys once.
 REMEMBERED = 1 << 20
 FLUSH_ROWS = 200_000
@@ -203,7 +201,8 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _survivors(rows: DataFrame, threshold: int, plan: dict[int, bool]) -> DataFrame:
     """``rows`` of the sets that may have a partner, with ``weight`` of the
-    segment and ``need``: the weight to select among the shared segments."""
+    segment and ``need``: the weight to select among the shared segments. ``rows``
+    are partitioned by class and own, so nothing here moves them."""
     band = _band_of(F.col("n"), threshold) - F.when(F.col("own"), 0).otherwise(1)
     weight = F.when(band.isin([b for b, deletions in plan.items() if deletions]), 2).otherwise(1)
     total = F.call_function("shiftleft", F.lit(1).cast("long"), (band + 1).cast("int"))
@@ -211,14 +210,15 @@ def _survivors(rows: DataFrame, threshold: int, plan: dict[int, bool]) -> DataFr
     segments = rows.select("class", "own", "n", "segment").distinct().withColumn("weight", weight)
     need = most + 1 - (total - F.sum("weight"))
     kept = segments.groupBy("class", "own", "n").agg(need.alias("need")).where("need > 0").drop("n")
-    return rows.drop("need", "weight").join(kept, ["class", "own"]).withColumn("weight", weight)
+    return rows.join(kept, ["class", "own"]).withColumn("weight", weight)
 
 
 def _selected(rows: DataFrame) -> DataFrame:
     """(sig, class, own, n, probe, cost): ``probe`` marks the keys of the
     segments that a set selects, ``cost`` the sets it meets there."""
     counts = rows.groupBy("sig").agg((F.count("*") - 1).alias("meets"))
-    priced = written(rows.join(small(counts, 24), "sig"), "priced")
+    # one exchange: all that follows goes by class and own
+    priced = rows.join(small(counts, 24), "sig").repartition("class", "own")
     segments = priced.groupBy("class", "own", "segment").agg(
         F.sum("meets").alias("meets"), F.first("weight").alias("weight"), F.first("need").alias("need"))
     by = Window.partitionBy("class", "own")
@@ -320,16 +320,9 @@ def linked_classes(source: DataFrame, classes: DataFrame, width: int, threshold:
         partial(_index, width=width, threshold=threshold, plan=dict(plan), text="text"),
         "sig long, class long, own boolean, segment int, n long"), "index")
     shared = written(_shared(index.df), "shared")
-    rows = Written(index.df.join(small(shared, 16), "sig", "left_semi").dropDuplicates(["sig", "class", "own"]), "rows")
+    rows = index.df.join(small(shared, 16), "sig", "left_semi").repartition("class", "own").dropDuplicates(["sig", "class", "own"])
+    left = Written(_survivors(rows, threshold, plan), "survivors")
     index.drop()
-    for _ in range(ROUNDS):
-        left = Written(_survivors(rows.df, threshold, plan), "survivors")
-        rows.drop()
-        rows = Written(left.df.join(_shared(left.df), "sig", "left_semi"), "rows")
-        left.drop()
-    # segments that nobody shares any more cost nothing: the weight to select follows
-    left = Written(_survivors(rows.df, threshold, plan), "survivors")
-    rows.drop()
     chosen = Written(_selected(left.df), "selected")
     left.drop()
 
