@@ -17,7 +17,7 @@ cheaper one: members of a large group of near copies that differ from it a littl
 select the rare keys of their differences, not the keys that the group shares.
 
 Where sets meet, all are first compared with one of them, that with the
-dearest selection (the centre of a group of copies). Sets of one component need
+dearest selection (the centre of a group of copies), by count sketches and then exactly. Sets of one component need
 no comparison any more; the rest of a group is compared by blocks, by sizes and
 count sketches first, then exactly. No link between different sets escapes, and
 a group that is one component is never compared all against all.
@@ -194,9 +194,13 @@ def _band_of(n: Column, threshold: int) -> Column:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Keys that two sets have, one of them in its own band."""
-    return rows.groupBy("sig").agg(F.min("class").alias("_a"), F.max("class").alias("_b"), F.max("own").alias("_own")).where(
-        "_a <> _b and _own").select("sig")
+    """``rows`` whose key two sets have, one of them in its own band.
+
+    Nearly all keys belong to one set. Every row crosses the one exchange by key
+    once and the index is not written: what comes out is all that is kept of it."""
+    by = Window.partitionBy("sig")
+    met = {"_a": F.min("class").over(by), "_b": F.max("class").over(by), "_own": F.max("own").over(by)}
+    return rows.withColumns(met).where("_a <> _b and _own").drop(*met)
 
 
 def _survivors(rows: DataFrame, threshold: int, plan: dict[int, bool]) -> DataFrame:
@@ -255,6 +259,15 @@ def _linked(batches, threshold: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], ["a", "b"])
 
 
+def _alike(batches) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches are no further apart than those of linked sets, ``most``."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+                for c in ("sketch_a", "sketch_b"))
+        keep = pa.array(np.abs(x - y).sum(1) <= batch.column("most").to_numpy(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], ["a", "b"])
+
+
 def _compare(rows: list[pa.RecordBatch], threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) of one block pair that sizes, sketches and components cannot rule out."""
     table = pa.Table.from_batches(rows)
@@ -315,14 +328,14 @@ def linked_classes(source: DataFrame, classes: DataFrame, width: int, threshold:
     ``source`` has (doc_id, text), ``classes`` (class, doc_id, n)."""
     if plan is None:
         plan = plan_bands(source, classes, width, threshold)
-    # what every set has, and of that the keys that two sets share
-    index = Written(source.select("text").mapInArrow(
+    # what every set has, and of that what two sets share
+    index = source.select("text").mapInArrow(
         partial(_index, width=width, threshold=threshold, plan=dict(plan), text="text"),
-        "sig long, class long, own boolean, segment int, n long"), "index")
-    shared = written(_shared(index.df), "shared")
-    rows = index.df.join(small(shared, 16), "sig", "left_semi").repartition("class", "own").dropDuplicates(["sig", "class", "own"])
+        "sig long, class long, own boolean, segment int, n long")
+    shared = Written(_shared(index), "shared")
+    rows = shared.df.repartition("class", "own").dropDuplicates(["sig", "class", "own"])
     left = Written(_survivors(rows, threshold, plan), "survivors")
-    index.drop()
+    shared.drop()
     chosen = Written(_selected(left.df), "selected")
     left.drop()
 
@@ -331,20 +344,24 @@ def linked_classes(source: DataFrame, classes: DataFrame, width: int, threshold:
     groups = written(groups.select("sig", F.col("centre.class").alias("centre"), F.col("centre.n").alias("centre_n")), "centres")
     near = f"100 * least(n, centre_n) >= {threshold} * greatest(n, centre_n)"
     stars = chosen.df.join(small(groups, 40), "sig").where("class <> centre").where(near).select(
-        F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
+        F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"),
+        F.expr(f"{100 - threshold} * (n + centre_n) div {100 + threshold}").alias("most")).distinct()
     wanted = written(chosen.df.select("class").distinct().join(classes.select("class", "doc_id"), "class"), "wanted")
     sets = written(
         source.join(small(wanted, 32), "doc_id").select("class", "text")
         .mapInArrow(partial(_sets, width=width, text="text"), "class long, tokens binary, sketch binary")
         .dropDuplicates(["class"]), "sets")
 
+    def joined_with(pairs: DataFrame, column: str) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(sets.select(F.col("class").alias(c), F.col(column).alias(f"{column}_{c}")), c)
+        return pairs
+
     def verified(pairs: DataFrame) -> DataFrame:
-        return written(
-            pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-            .join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-            .mapInArrow(partial(_linked, threshold=threshold), "a long, b long"), "links")
+        return written(joined_with(pairs, "tokens").mapInArrow(partial(_linked, threshold=threshold), "a long, b long"), "links")
 
-    first = verified(stars)
+    # most sets are far from a centre: whole sets travel only where their sketches are near
+    first = verified(written(joined_with(stars, "sketch").mapInArrow(_alike, "a long, b long"), "stars"))
     joined = components(first, "a", "b").select(F.col("node").alias("class"), "component")
     members = written(chosen.df.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "members")
     chosen.drop()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from newsgraph.llm import jaccard_join
@@ -108,3 +110,24 @@ def test_deletions_are_planned_where_plain_segments_collide(spark):
     assert planned(spark, [(i, f"{same} {r.random()} {r.random()}") for i in range(300)])[0]
     other = [(i, " ".join(str(r.random()) for _ in range(13))) for i in range(300)]
     assert planned(spark, other) == {0: False}
+
+
+def test_shared_rows_come_out_of_one_exchange(spark):
+    """The rows of shared keys, whole, without a second pass over the index."""
+    rows = [(1, 10, True, 0, 9), (1, 11, False, 0, 9), (2, 10, True, 1, 9), (2, 10, True, 1, 9), (3, 12, False, 2, 9), (3, 13, False, 2, 9)]
+    df = spark.createDataFrame(rows, "sig long, class long, own boolean, segment int, n long")
+    got = jaccard_join._shared(df)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.collect())) == rows[:2]
+
+
+def test_sketches_let_every_linked_pair_through():
+    r = random.Random(7)
+    base = np.array(sorted(r.getrandbits(64) for _ in range(400)), np.uint64)
+    sketch = lambda s: np.bincount((s >> np.uint64(40)).astype(np.int64) % jaccard_join.SKETCH, minlength=jaccard_join.SKETCH).astype(np.uint8).tobytes()
+    other = np.array([r.getrandbits(64) for _ in range(400)], np.uint64)
+    sets = [np.concatenate([base[k:], other[:k]]) for k in (0, 20, 44, 400)]
+    batch = pa.RecordBatch.from_pydict({
+        "a": [0] * 4, "b": [0, 1, 2, 3], "most": [20 * 800 // 180] * 4,
+        "sketch_a": [sketch(base)] * 4, "sketch_b": [sketch(s) for s in sets]})
+    assert next(jaccard_join._alike([batch])).column("b").to_pylist() == [0, 1, 2]
