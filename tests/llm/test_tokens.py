@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -67,3 +68,34 @@ def test_other_tokenizers_take_whole_texts():
 @pytest.mark.parametrize("values", [[], [1, 2], [70_000, 3]])
 def test_packed(values):
     assert unpacked(packed(np.array(values, "<u4"))).tolist() == values
+
+
+def test_new_pieces_are_encoded_many_in_one_text(monkeypatch):
+    encoder, calls = Encoder(PATH), []
+    plain_call = encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda texts: calls.append(len(texts)) or plain_call(texts))
+    text = "head " + " ".join(f"wörd{i}, <b>{i}</b>\nnext{i}" for i in range(2000))
+    assert ids(encoder.batch([text])[0]) == plain(text)
+    assert sum(calls) < 200
+
+
+def test_pieces_that_do_not_end_with_a_token_are_encoded_alone():
+    encoder = Encoder(PATH)
+    encoder.token_bytes = encoder.token_bytes + 1
+    assert [ids(x) for x in encoder.batch(ODD)] == [plain(x) for x in ODD]
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": ["a b", None, "c" * 25, "", "d e f"]})
+    assert [b.num_rows for b in tokens._by_bytes([batch, batch.slice(0, 0)])] == [2, 3]
+    made = pa.Table.from_batches(list(tokens._encode([batch], PATH, 0, None)))
+    assert made["doc_id"].to_pylist() == [1, 2, 3, 4, 5]
+    assert [unpacked(x).tolist() for x in made["ids"].to_pylist()] == [[*plain(x), 0] for x in batch["text"].to_pylist()]
+
+
+def test_memory_of_a_worker_keeps_what_comes_again():
+    encoder = Encoder(PATH)
+    encoder.batch(["once twice twice", "x twice"])
+    assert set(encoder.later) == {" twice"}
+    assert tokens.MEMORY_BYTES <= 32 << 20
