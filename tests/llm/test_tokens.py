@@ -88,7 +88,7 @@ def test_pieces_that_do_not_end_with_a_token_are_encoded_alone():
 def test_batches_are_cut_by_bytes(monkeypatch):
     monkeypatch.setattr(tokens, "TOGETHER_BYTES", 10)
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": ["a b", None, "c" * 25, "", "d e f"]})
-    assert [b.num_rows for b in tokens._by_bytes([batch, batch.slice(0, 0)])] == [2, 3]
+    assert [b.num_rows for b in tokens._by_bytes([batch, batch.slice(0, 0)])] == [2, 2, 1]
     made = pa.Table.from_batches(list(tokens._encode([batch], PATH, 0, None)))
     assert made["doc_id"].to_pylist() == [1, 2, 3, 4, 5]
     assert [unpacked(x).tolist() for x in made["ids"].to_pylist()] == [[*plain(x), 0] for x in batch["text"].to_pylist()]
